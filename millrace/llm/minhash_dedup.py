@@ -141,67 +141,80 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([_long(cid), pa.array([s.tobytes() for s in sets], pa.binary())], ["cid", "set"])
 
 
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether 100 * |x and y| >= percent * |x or y|, for sorted sets that are not empty."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _verifier(percent: int):
     def verify(batches):
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
+                keep[i] = similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent)
             yield batch.select([0, 1]).filter(pa.array(keep))
 
     return verify
 
 
 def _blocks(least: int, percent: int):
-    """Rows (bk, i, j, side, cid, comp, n, sk) sorted by (bk, i, j, side): pairs of two components whose sketches agree
-    in `least` coordinates. side 0 belongs to block i, side 1 to block j; on the diagonal all rows have side 0."""
+    """Rows (bk, i, j, side, cid, comp, band, sk, set) sorted by (bk, i, j, side) to links (a, b) that join components.
 
-    def pairs_of(rows: dict) -> tuple[np.ndarray, np.ndarray]:
-        sk, comp, n, side, cid = rows["sk"], rows["comp"], rows["n"], rows["side"], rows["cid"]
-        left = np.flatnonzero(side == 0)
-        right = np.flatnonzero(side == 1)
+    side 0 belongs to block i, side 1 to block j; on the diagonal all rows have side 0. A pair is looked at in the first
+    band that its members share, if their components differ and their sketches agree in `least` coordinates."""
+
+    def links_of(rows: dict) -> list[tuple[int, int]]:
+        sk, comp, side, cid = rows["sk"], rows["comp"].copy(), rows["side"], rows["cid"]
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         inner = not len(right)
         right = left if inner else right
-        a, b = [], []
+        sets = [np.frombuffer(x, np.uint64) for x in rows["set"]]
+        n = np.array([len(x) for x in sets])
+        band, found = int(rows["band"][0]), []
         for k in range(0, len(left), 32):
             x = left[k : k + 32]
             ok = comp[x][:, None] != comp[right][None, :]
-            lo, hi = np.minimum(n[x][:, None], n[right][None, :]), np.maximum(n[x][:, None], n[right][None, :])
-            ok &= 100 * lo >= percent * hi
+            ok &= 100 * np.minimum(n[x][:, None], n[right][None, :]) >= percent * np.maximum(n[x][:, None], n[right][None, :])
             if inner:
                 ok &= cid[x][:, None] < cid[right][None, :]
             p, q = np.nonzero(ok)
-            for m in range(0, len(p), 20_000):
-                pp, qq = x[p[m : m + 20_000]], right[q[m : m + 20_000]]
-                near = (sk[pp] == sk[qq]).sum(1) >= least
-                a.append(np.minimum(cid[pp[near]], cid[qq[near]])), b.append(np.maximum(cid[pp[near]], cid[qq[near]]))
-        none = np.zeros(0, np.int64)
-        return np.concatenate([none, *a]), np.concatenate([none, *b])
+            p, q = x[p], right[q]
+            for m in range(0, len(p), 10_000):
+                same = sk[p[m : m + 10_000]] == sk[q[m : m + 10_000]]
+                near = same.sum(1) >= least
+                near &= same.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band
+                for u, v in zip(p[m : m + 10_000][near].tolist(), q[m : m + 10_000][near].tolist(), strict=True):
+                    if comp[u] != comp[v] and similar(sets[u], sets[v], percent):
+                        found.append((int(cid[u]), int(cid[v])))
+                        comp[comp == comp[v]] = comp[u]
+        return found
 
     def run(batches):
-        names = ("bk", "i", "j", "side", "cid", "comp", "n")
+        names = ("bk", "i", "j", "side", "cid", "comp", "band")
         held = None
         for batch in _then_none(batches):
-            if batch is not None and batch.num_rows:
+            if batch is not None:
+                if not batch.num_rows:
+                    continue
                 rows = {k: batch.column(x).to_numpy(zero_copy_only=False) for x, k in enumerate(names)}
                 rows["sk"] = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint16).reshape(-1, COORDINATES)
+                rows["set"] = np.array([*batch.column(8).to_pylist(), None], object)[:-1]
                 held = rows if held is None else {k: np.concatenate([held[k], rows[k]]) for k in rows}
-            if held is None or batch is not None and not batch.num_rows:
-                continue
+            if held is None:
+                break
             new = np.flatnonzero((np.diff(held["bk"]) != 0) | (np.diff(held["i"]) != 0) | (np.diff(held["j"]) != 0)) + 1
             ends = [0, *new.tolist()] + ([len(held["bk"])] if batch is None else [])
-            a, b = [], []
+            found = []
             for s, e in zip(ends, ends[1:], strict=False):
-                p, q = pairs_of({k: v[s:e] for k, v in held.items()})
-                a.append(p), b.append(q)
+                found += links_of({k: v[s:e] for k, v in held.items()})
             held = {k: v[ends[-1] :] for k, v in held.items()}
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+            if found:
+                a, b = np.array(found, np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     return run
 
@@ -219,8 +232,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
 
     A bucket's rows are never paired with each other at large. First each is compared with the bucket's most connected
     class, which joins nearly every group. Only buckets that then still hold several components are compared in full,
-    block against block, and only pairs of different components whose sketches lie within 5.4 standard deviations of the
-    threshold leave that step for the exact check; so no link between components is lost to a cap."""
+    block against block: pairs of different components whose sketches lie within 5.4 standard deviations of the threshold
+    are checked exactly there, and only links that join components come out; so no such link is lost to a cap."""
     if not 80 <= percent <= 100:
         raise ValueError("percent must be from 80 to 100")
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -228,8 +241,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
 
     classes = materialize(rows.where("n > 0").groupBy("cid", "cid2", "n").agg(F.min("doc_id").alias("rep")), "classes")
     firsts = rows.alias("r").join(classes.alias("c"), F.expr("r.cid = c.cid and r.cid2 = c.cid2 and r.doc_id <=> c.rep"))
-    firsts = firsts.select("r.cid", "r.n", "r.bands").dropDuplicates(["cid"])
-    buckets = firsts.select("cid", F.explode("bands").alias("bk"))
+    firsts = firsts.select("r.cid", "r.bands").dropDuplicates(["cid"])
+    buckets = firsts.select("cid", F.posexplode("bands").alias("band", "bk"))
     shared = buckets.groupBy("bk").agg(F.count("*").alias("c"), F.min("cid").alias("one")).where("c > 1").select("bk", "c")
     members = materialize(buckets.join(shared, "bk"), "buckets")
 
@@ -250,19 +263,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
     comps = connected_components(links)
 
     of = comps.select(F.col("node").alias("cid"), F.col("component").alias("comp"))
-    at = members.join(of, "cid", "left").select("bk", "cid", F.coalesce("comp", "cid").alias("comp"))
+    at = members.join(of, "cid", "left").select("bk", "band", "cid", F.coalesce("comp", "cid").alias("comp"))
     open_ = at.groupBy("bk").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bk", "c")
     rest = materialize(at.join(open_, "bk"), "open")
     if not is_empty(rest):
-        info = rows.alias("r").join(rest.select("cid").distinct().alias("k"), "cid").select("cid", "n", "sk").dropDuplicates(["cid"])
-        n_blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-        spread = rest.join(info, "cid").withColumn("nb", n_blocks).withColumn("own", F.pmod(F.xxhash64("cid"), "nb").cast("int"))
-        spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        spread = spread.select("bk", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cid", "comp", "n", "sk")
+        info = rows.join(rest.select("cid").distinct(), "cid").select("cid", "sk").dropDuplicates(["cid"]).join(sets.dropDuplicates(["cid"]), "cid")
+        spread = rest.withColumn("nb", F.ceil(F.col("c") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("cid"), "nb").cast("int"))
+        spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).join(info, "cid")
+        spread = spread.select("bk", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cid", "comp", "band", "sk", "set")
         spread = spread.repartition("bk", "i", "j").sortWithinPartitions("bk", "i", "j", "side")
         p = percent / 100
         least = int(COORDINATES * p - SIGMAS * (COORDINATES * p * (1 - p)) ** 0.5)
-        more = verified(spread.mapInArrow(_blocks(least, percent), "a long, b long").distinct())
+        more = materialize(spread.mapInArrow(_blocks(least, percent), "a long, b long").distinct(), "links")
         if not is_empty(more):
             comps = connected_components(links.unionAll(more))
     discard(members, rest)
