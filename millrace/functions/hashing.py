@@ -60,12 +60,14 @@ def _xor(array: Column) -> Column:
 def board_hash(board: Column, bar_x: Column, bar_o: Column, off_x: Column, off_o: Column) -> Column:
     """Zobrist hash of the signed board alone: who stands where, in four levels, and how many."""
     k = zobrist_keys()
-    zero = F.lit(0).cast("long")
     parts = []
+
+    def beyond(side: int, level: int):
+        return lambda x, key: F.when(x * side > level, key).otherwise(F.lit(0).cast("long"))
+
     for side, name in ((1, "x"), (-1, "o")):
         for level in range(4):
-            keys = _array(k[name][level])
-            parts.append(_xor(F.zip_with(board, keys, lambda x, key, side=side, level=level: F.when(x * side > level, key).otherwise(zero))))
+            parts.append(_xor(F.zip_with(board, _array(k[name][level]), beyond(side, level))))
     counts = _array([x for row in k["count"] for x in row])
     parts.append(let(counts, lambda c: _xor(F.transform(board, lambda x, i: c[i * 16 + F.least(F.abs(x), F.lit(15)).cast("int")]))))
     parts += [_array(k[n])[c.cast("int")] for n, c in (("bar_x", bar_x), ("bar_o", bar_o), ("off_x", off_x), ("off_o", off_o))]
