@@ -1,0 +1,531 @@
+"""The operators in Spark against brute force, the libraries and held-out labels, with nulls, empty and long texts, ties,
+repeated rows, empty tables and clashing columns."""
+
+import collections
+import math
+import os
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from millrace.llm import common, components, embedding_dedup, minhash_dedup, mixing, quality_classifier, quality_rules, sentencepiece_nbest, substring_dedup, token_counts, token_output, url_filters
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+#: Names that operators use for columns of their own.
+CLASHES = ["row", "rest", "size", "kept", "cid", "rep", "m", "n_words", "stratum", "gone", "key", "own", "copies", "evidence", "cut", "h", "n_tokens"]
+WORDS = [a + b for a in "ka lo mi ne pu ra si to ve xo".split() for b in "n r st l m".split()]
+
+
+def prose(rng, n):
+    out = []
+    while n > 0:
+        k = min(n, rng.randint(4, 14))
+        out.append(" ".join(rng.choice(WORDS) + rng.choice(WORDS) for _ in range(k)).capitalize() + ".")
+        n -= k
+    return " ".join(out)
+
+
+def corpus():
+    rng = random.Random(3)
+    base = [prose(rng, rng.randint(60, 200)) for _ in range(40)]
+    rows = [(i, t, rng.choice(["en", "fr"]), f"s{i % 4}", len(t)) for i, t in enumerate(base)]
+    for i in range(40, 70):  # near copies: a few words changed
+        w = base[i % 10].split(" ")
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(len(w))] = "changed"
+        rows.append((i, " ".join(w), "en", "s0", 0))
+    passage = prose(rng, 70)
+    rows += [(70 + i, base[20 + i] + "\n" + passage + "\n" + prose(rng, 40), "en", "s1", 0) for i in range(4)]
+    rows += [(80, None, None, None, None), (81, "", "en", "s1", 0), (82, "  \n\t ", "de", "s2", 3), (83, "one two", "en", "s2", 7), (84, "one two", "en", "s2", 7), (85, "One TWO", "en", None, 7)]
+    rows += [(None, base[0], "en", "s0", 1), (5, base[5], "en", "s1", 1), (5, base[5], "en", "s1", 1), (90, prose(rng, 30_000), "en", "s3", 1), (91, "word " * 3000, "en", "s3", 1), (92, "x" * 50_000, "en", "s3", 1), (93, "### $$$ " * 100, "fr", "s1", 1)]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), SCHEMA).repartition(5)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def clashing(df):
+    return df.withColumns({c: F.lit("mine") for c in CLASHES})
+
+
+def multiset(df, *columns):
+    return collections.Counter(tuple(r[c] for c in columns) for r in df.collect())
+
+
+# --- 1
+
+
+def test_sentencepiece(docs, empty):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    got = sentencepiece_nbest.encode(clashing(docs), path, with_ids=True).collect()
+    assert len(got) == len(corpus()) and all(r["round_trip"] and r["size"] == "mine" for r in got)
+    model = sentencepiece_nbest.Model(path)
+    by_id = {r["doc_id"]: r for r in got}
+    for i, text, *_ in corpus():
+        r = by_id[i]
+        ids = np.array(r["ids"], "<u4")
+        assert zlib.crc32(ids.tobytes()) == r["ids_crc32"] and len(ids) == r["n_tokens"] == r["nbest_tokens"][0]
+        assert model.processor.decode([int(x) for x in ids]) == (text or "")
+        assert r["nbest_scores"] == sorted(r["nbest_scores"], reverse=True)
+    assert by_id[80]["nbest_scores"] == [0.0] and by_id[81]["n_tokens"] == 0
+    assert sentencepiece_nbest.encode(empty, path).count() == 0
+    with pytest.raises(ValueError):
+        sentencepiece_nbest.encode(docs, path, n_best=0)
+
+
+# --- 2
+
+
+def vectors():
+    rng = np.random.default_rng(5)
+    rows, at = [], 0
+    for label in (1, 2, None):
+        for center in rng.standard_normal((6, 16)):
+            for _ in range(int(rng.integers(1, 30))):
+                rows.append((at, (center + 0.06 * rng.standard_normal(16)).astype(np.float32).tolist(), label))
+                at += 1
+    rows += [(at, rows[0][1], 1), (at + 1, [2 * x for x in rows[0][1]], 1), (at + 2, None, 1), (at + 3, [0.0] * 16, 1), (at + 4, [1.0, None] * 8, 1), (at + 5, [float("nan")] * 16, 1), (at + 6, [float("inf")] + [1.0] * 15, 1), (at + 7, [], 1), (at + 8, [1.0, 0.0], 1), (at + 9, [1.0, 0.01], 1), (None, rows[1][1], 1)]
+    return rows
+
+
+def test_embedding_dedup(spark, monkeypatch):
+    rows = vectors()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4)
+
+    def ok(v):
+        return v and all(x is not None and math.isfinite(x) for x in v) and any(v)
+
+    n = len(rows)
+    links = [set() for _ in rows]
+    for i in range(n):
+        for j in range(n):
+            a, b = rows[i], rows[j]
+            if i != j and a[2] is not None and a[2] == b[2] and ok(a[1]) and ok(b[1]) and len(a[1]) == len(b[1]):
+                x, y = np.array(a[1], float), np.array(b[1], float)
+                if x @ y / math.sqrt((x @ x) * (y @ y)) >= 0.98:
+                    links[i].add(j)
+    want = collections.Counter()
+    for i in range(n):
+        seen, todo = {i}, [i]
+        while todo:
+            for j in links[todo.pop()] - seen:
+                seen.add(j)
+                todo.append(j)
+        ids = [rows[j][0] for j in seen if rows[j][0] is not None]
+        comp = min(ids) if ids else None
+        want[(rows[i][0], len(links[i]), comp, rows[i][0] == comp)] += 1
+    assert multiset(embedding_dedup.embedding_links(df), "vec_id", "n_links", "component_id", "kept") == want
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 7)  # components of several blocks
+    monkeypatch.setattr(embedding_dedup, "WINDOW", 5)
+    assert multiset(embedding_dedup.embedding_links(df), "vec_id", "n_links", "component_id", "kept") == want
+    assert embedding_dedup.embedding_links(df.where("false")).count() == 0
+
+
+# --- 3 and 6
+
+
+def test_token_counts(docs, empty):
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = collections.Counter()
+    for i, text, *_ in corpus():
+        n = len(t.encode(text or "", add_special_tokens=False).ids)
+        want[(i, len((text or "").encode()), n, n > 1024)] += 1
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert multiset(token_counts.token_counts(clashing(docs), path), "doc_id", "n_bytes", "n_tokens", "over_limit") == want
+    assert token_counts.token_counts(empty, path).count() == 0
+
+
+def test_token_output(docs, empty, monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    rows = sorted(((i, np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], "<u4")) for i, text, *_ in corpus()), key=lambda r: (r[0] is not None, r[0] or 0))
+    want, at = collections.Counter(), 0
+    for i, ids in rows:
+        want[(i, at, len(ids), zlib.crc32(ids.tobytes()))] += 1
+        at += len(ids)
+    assert multiset(token_output.token_id_round_trip(docs, path), "doc_id", "start", "n_tokens", "ids_crc32") == want
+    monkeypatch.setattr(token_output, "SHARD_DOCUMENTS", 9)
+    assert multiset(token_output.token_id_round_trip(clashing(docs), path), "doc_id", "start", "n_tokens", "ids_crc32") == want
+    assert token_output.token_id_round_trip(empty, path).count() == 0
+
+
+# --- 4
+
+
+def pages():
+    link = lambda *hosts: "".join(f'<a href="{h}">x</a>' for h in hosts)
+    return [
+        (1, "http://a.org/x", link("http://b.net/1", "//c.net", "/own", "HTTPS://B.NET/2")), (2, "https://b.net/y?q=1", link("https://c.net/", "http://bad.com/de/1")), (3, "http://c.net", link()),
+        (4, "http://bad.com/de/x#f", link("http://b.net")), (5, "http://bad.com/de", link("http://near.net")), (6, "http://near.net/p", link("http://bad.com/de/", "http://bad.com/de/2")), (7, "http://X.Example.ORG/es/1", None),
+        (8, "http://example.org/en/12", ""), (9, "http://example.org/en/2", ""), (10, None, ""), (11, "no scheme", ""), (12, "http://notorg/", ""), (13, "http://com/fr/", ""), (14, "http://x.com/fr", ""), (15, "ftp://a://b/c", ""), (15, "ftp://a://b/c", ""), (16, "", None), (17, "http://org/", ""), (18, "http://bad.com/de/z", link("http://near.net")),
+    ]
+
+
+def judged_by_hand(rows):
+    import re
+
+    def split(url):
+        if url is None or "://" not in url:
+            return "", ""
+        rest = url.split("://", 1)[1]
+        host = re.match(r"[^/?#]*", rest)[0]
+        return "".join(c.lower() if "A" <= c <= "Z" else c for c in host), re.match(r"[^?#]*", rest[len(host) :])[0]
+
+    def rule(host, path):
+        fits = [(len(r), v, r) for v, r in url_filters.RULES if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith(r[r.index("/") :])]
+        return max(fits)[1:] if fits else (None, None)
+
+    at = [(i, *split(u), html) for i, u, html in rows]
+    under = collections.defaultdict(lambda: [0, 0])
+    for _, h, p, _ in at:
+        v, _ = rule(h, p)
+        if h and v:
+            under[h][v == "block"] += 1
+    weight = collections.Counter()
+    for _, h, _, html in at:
+        for x in re.findall(r'(?i)href="(?:https?:)?//([^/?#"]+)', html or ""):
+            if h and h != x.lower():
+                weight[h, x.lower()] += 1
+
+    def flow(edges, seeds):
+        total = collections.Counter()
+        for (a, _), w in edges.items():
+            total[a] += w
+        restart = {h: s * 0.15 for h, s in seeds.items() if s}
+        now = {h: s for h, s in seeds.items() if s}
+        for _ in range(url_filters.STEPS):
+            new = collections.Counter(restart)
+            for (a, b), w in edges.items():
+                new[b] += 0.85 * now.get(a, 0) * w / total[a]
+            now = new
+        return now
+
+    trust = flow(weight, {h: a / (a + b) for h, (a, b) in under.items()})
+    distrust = flow({(b, a): w for (a, b), w in weight.items()}, {h: b / (a + b) for h, (a, b) in under.items()})
+    out = collections.Counter()
+    for i, h, p, _ in at:
+        v, r = rule(h, p)
+        out[(i, h, p, r, v or ("block" if distrust.get(h, 0) - trust.get(h, 0) > url_filters.THRESHOLD else "allow"))] += 1
+    return out
+
+
+def test_url_filters(spark):
+    df = spark.createDataFrame(pages(), "page_id long, url string, html string").repartition(3)
+    columns = ("page_id", "host", "path", "rule", "verdict")
+    want = judged_by_hand(pages())
+    assert (6, "near.net", "/p", None, "block") in want and (2, "b.net", "/y", None, "allow") in want
+    assert multiset(url_filters.url_verdicts(df.withColumn("trust", F.lit(1))), *columns) == want
+    plain = [(i, u, None) for i, u, _ in pages()]
+    assert multiset(url_filters.url_verdicts(spark.createDataFrame(plain, df.schema)), *columns) == judged_by_hand(plain)
+    assert url_filters.url_verdicts(df.where("false")).count() == 0
+
+
+# --- 5
+
+
+def cut_by_hand(rows):
+    spans = collections.defaultdict(list)
+    for i, text in {(r[0], r[1]) for r in rows if r[1]}:
+        for at, n, h in substring_dedup.spans(substring_dedup.sentences(text)):
+            spans[h].append(((i is not None, i or 0), text, at, n, i))
+    drop = collections.defaultdict(set)
+    for places in spans.values():
+        first = min(places, key=lambda p: (p[0], p[2]))
+        for p in places:
+            if p is not first:
+                drop[p[4], p[1]].update(range(p[2], p[2] + p[3]))
+    return collections.Counter((r[0], None if r[1] is None else "".join(s for k, s in enumerate(substring_dedup.sentences(r[1])) if k not in drop[r[0], r[1]])) for r in rows)
+
+
+def test_substring_dedup(docs, empty):
+    want = cut_by_hand(corpus())
+    assert multiset(substring_dedup.remove_repeats(docs), "doc_id", "text") == want
+    report = substring_dedup.repeat_report(clashing(docs)).collect()
+    assert collections.Counter((r["doc_id"], r["text"]) for r in report) == want
+    by_id = {r["doc_id"]: r for r in report}
+    assert by_id[70]["n_removed"] < by_id[71]["n_removed"]  # the passage stays in its first document
+    assert all(by_id[i]["removed_words"] >= 60 for i in (71, 72, 73))
+    assert by_id[90]["n_removed"] == 0 and by_id[80]["text"] is None and by_id[81]["text"] == ""
+    assert substring_dedup.remove_repeats(clashing(docs)).columns == clashing(docs).columns
+    assert substring_dedup.remove_repeats(empty).count() == 0
+
+
+def test_passages_without_full_stops_are_cut_alike():
+    rng = random.Random(1)
+    passage = " ".join(rng.choice(WORDS) + rng.choice(WORDS) for _ in range(80))
+    places = []
+    for _ in range(2):
+        before = " ".join(rng.choice(WORDS) + rng.choice(WORDS) for _ in range(37))
+        text = before + " " + passage + " " + before[::-1]
+        pieces = substring_dedup.sentences(text)
+        assert "".join(pieces) == text
+        places.append({h for _, _, h in substring_dedup.spans(pieces)})
+    assert places[0] & places[1]
+
+
+# --- 7
+
+
+def measured_by_hand(text):
+    import re
+
+    text = text or ""
+    words = re.findall(r"[^ \t-\r]+", text)
+    grams = collections.Counter(zip(words, words[1:], words[2:], strict=False))
+    covered = {k for i in range(len(words) - 2) if grams[tuple(words[i : i + 3])] > 1 for k in (i, i + 1, i + 2)}
+    lines = [x for x in text.split("\n") if re.search(r"[^ \t-\r]", x)]
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_measures(spark, docs, empty):
+    extra = [(100 + i, t, "en", "s", 0) for i, t in enumerate(["a b c a b c", "a a a a", "a b\na b\n\n \na b", "é東😀 #x |", "a b c d a b c e b c d", "x\u00a0y\u2003z \x0bq"])]
+    df = docs.unionAll(spark.createDataFrame(extra, SCHEMA))
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = multiset(quality_rules.quality_verdicts(clashing(df), labels), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    want = collections.Counter()
+    for i, t, *_ in corpus() + extra:
+        m = measured_by_hand(t)
+        bad = m[0] < 50 or 100 * m[4] > 50 * m[0]
+        want[(i, *m, bad, not bad)] += 1
+    assert got == want
+    assert quality_rules.quality_verdicts(empty, labels).count() == 0
+
+
+def test_safe_cutoffs_are_exact_binomial(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(4000):
+        lang = rng.choice(["en", "en", "en", None])
+        rows.append((i, lang, 100, 500, rng.choice([0] * 199 + [30]), 0, 0, 10))
+    df = spark.createDataFrame(rows, "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long")
+    labels = [(r[0], 1 if r[4] == 0 or rng.random() < 0.5 else 0) for r in rows] + [(1, None), (None, 1), (2, 0)]
+    got = {r["stratum"]: r for r in quality_rules.safe_cutoffs(df, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    good = {i for i, q in labels if q == 1}
+    tests = sum(len(g) for _, g in quality_rules.RULES.values())
+    for stratum in ("en", None):
+        held = [r for r in rows if r[1] == stratum and r[0] in good]
+        n, p = len(held), quality_rules.LIMIT / len(quality_rules.RULES)
+        safe = []
+        for cut in quality_rules.RULES["symbols"][1]:
+            k = sum(r[4] / r[3] > cut for r in held)
+            tail = sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+            if tail <= quality_rules.CONFIDENCE_LOSS / (2 * tests):
+                safe.append(cut)
+        assert (got[stratum]["cut_symbols"] if stratum in got else None) == (min(safe) if safe else None)
+    assert got["en"]["cut_symbols"] is not None
+
+
+def test_quality_filter_uses_cutoffs(spark):
+    rng = random.Random(4)
+    text = {True: lambda: prose(rng, 60), False: lambda: " ".join(w + "###" for w in prose(rng, 60).split())}
+    rows = [(i, text[i % 5 > 0](), "en", "s", 0) for i in range(1500)]
+    labels = spark.createDataFrame([(i, int(i % 5 > 0)) for i in range(1500)], "doc_id long, quality int")
+    df = spark.createDataFrame(rows, SCHEMA)
+    kept = {r["doc_id"] for r in quality_rules.keep_good(clashing(df), labels).select("doc_id").collect()}
+    assert kept == {i for i in range(1500) if i % 5}
+    assert quality_rules.keep_good(clashing(df), labels).columns == clashing(df).columns
+
+
+# --- 8
+
+
+def filled_by_hand(sizes, weights=(1.0, 2.0, 3.0), most=3.0):
+    names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
+    w = {s: weights[i % 3] for i, s in enumerate(names)}
+    total, capped, out = sum(sizes.values()), set(), {}
+    while True:
+        free = [s for s in names if s not in capped]
+        left = total - sum(most * sizes[s] for s in capped)
+        out = {s: most * sizes[s] if s in capped else left * w[s] / sum(w[x] for x in free) for s in names}
+        over = {s for s in free if out[s] > most * sizes[s]}
+        if not over:
+            return out
+        capped |= over
+
+
+def test_mixing(spark, docs, empty):
+    got = mixing.mixture(clashing(docs)).collect()
+    words = collections.Counter((r[0], len((r[1] or "").split())) for r in corpus())
+    assert collections.Counter((r["doc_id"], r["size"]) for r in got) == words
+    sizes, source = collections.Counter(), {}
+    for r in corpus():
+        sizes[r[3]] += len((r[1] or "").split())
+        source.setdefault(len(sizes), r[3])
+    target = filled_by_hand(sizes)
+    by_size = {(sizes[s], round(target[s], 6)): s for s in sizes}
+    taken, largest = collections.Counter(), collections.Counter()
+    for r in got:
+        s = by_size[r["source_size"], round(r["target"], 6)]
+        taken[s] += r["taken"]
+        largest[s] = max(largest[s], r["size"])
+        assert r["taken"] <= 3 * r["size"]
+    for s in sizes:
+        assert abs(taken[s] - target[s]) <= largest[s]
+    again = mixing.mixture(docs.repartition(3))
+    assert multiset(again, "doc_id", "size", "target", "taken") == collections.Counter((r["doc_id"], r["size"], r["target"], r["taken"]) for r in got)
+    assert mixing.mixture(empty).count() == 0
+    only_null = docs.withColumn("text", F.lit(None).cast("string"))
+    assert {(r["target"], r["taken"]) for r in mixing.mixture(only_null).collect()} == {(0.0, 0)}
+
+
+def test_water_fill_of_many_small_sources(spark):
+    rng = random.Random(2)
+    rows = [(i, f"s{i % 37}", rng.randint(1, 20) * (40 if i % 37 == 3 else 1)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    sizes = collections.Counter()
+    for _, s, n in rows:
+        sizes[s] += n
+    want = filled_by_hand(sizes)
+    got = mixing.mix(df).collect()
+    taken = collections.Counter()
+    for r in got:
+        assert r["target"] == pytest.approx(want[r["source"]])
+        taken[r["source"]] += r["copies"] * r["size"]
+    assert all(abs(taken[s] - want[s]) <= 400 + 1 for s in want) and sum(want.values()) == pytest.approx(sum(sizes.values()))
+
+
+def test_mixed_documents(docs):
+    df = clashing(docs)
+    out = mixing.mixed_documents(df)
+    assert out.columns == df.columns
+    want = {(r["doc_id"], r["size"]): (r["taken"] // r["size"] if r["size"] else 0) for r in mixing.mixture(docs).collect()}
+    n = collections.Counter((r["doc_id"], len((r["text"] or "").split())) for r in out.collect())
+    assert all(n[k] % v == 0 and n[k] > 0 for k, v in want.items() if v)
+    assert {k for k in n if k[1]} == {k for k, v in want.items() if v}
+
+
+# --- 9
+
+
+def grouped_by_hand(rows, percent):
+    import re
+
+    def shingles(t):
+        w = [x for x in re.split(r"[ \t-\r]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) if x]
+        return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+    sets = [shingles(r[1]) for r in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                a, b = group[i], group[j]
+                group = [b if g == a else g for g in group]
+    least = collections.defaultdict(list)
+    for g, r in zip(group, rows, strict=True):
+        if r[0] is not None:
+            least[g].append(r[0])
+    comp = [(min(least[g]) if least[g] else None) if s else r[0] for g, r, s in zip(group, rows, sets, strict=True)]
+    return collections.Counter((r[0], len(s), c, r[0] == c) for r, s, c in zip(rows, sets, comp, strict=True))
+
+
+@pytest.mark.parametrize("percent", [85, 80])
+def test_near_duplicates(docs, empty, percent):
+    want = grouped_by_hand(corpus(), percent)
+    assert multiset(minhash_dedup.near_duplicates(clashing(docs), percent), "doc_id", "n_shingles", "component_id", "kept") == want
+    assert minhash_dedup.near_duplicates(empty).count() == 0
+
+
+def test_open_buckets_are_finished_exactly(spark, monkeypatch):
+    """A chain whose ends are alike only through the middle, and a crowd just below the threshold, in small blocks."""
+    rng = random.Random(6)
+    base = [rng.choice(WORDS) + rng.choice(WORDS) for _ in range(300)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for k in range(5 if i % 2 else 2):
+            w[(i * 7 + k * 53) % 300] = f"new{i}x{k}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 8)
+    assert multiset(minhash_dedup.near_duplicates(df, 85), "doc_id", "n_shingles", "component_id", "kept") == grouped_by_hand(rows, 85)
+    assert multiset(minhash_dedup.near_duplicates(df, 92), "doc_id", "n_shingles", "component_id", "kept") == grouped_by_hand(rows, 92)
+
+
+def test_sketch_estimates_similarity():
+    rng = np.random.default_rng(1)
+    for n in (1, 3, 40, 2000):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[: max(1, 8 * n // 10)], rng.integers(0, 2**63, n // 5).astype(np.uint64)]))
+        true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+        got = (minhash_dedup.sketch(a) == minhash_dedup.sketch(b)).mean()
+        assert (minhash_dedup.sketch(a) != minhash_dedup._EMPTY).all() and abs(got - true) < 0.2
+
+
+def test_first_of_groups_stay(docs):
+    df = clashing(docs)
+    out = minhash_dedup.keep_first_of_groups(df)
+    verdict = minhash_dedup.near_duplicates(docs, 80).collect()
+    kept = {r["doc_id"] for r in verdict if r["kept"]}
+    assert out.columns == df.columns and {r["doc_id"] for r in out.select("doc_id").collect()} == kept
+
+
+def test_components(spark):
+    rng = random.Random(8)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(300 + i, 301 + i) for i in range(40)]
+    edges += [(1000, 1000), (None, 3)] + [(500, i) for i in range(501, 530)]
+    label = {x: x for e in edges if None not in e and e[0] != e[1] for x in e}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            if a in label and b in label and label[a] != label[b]:
+                label[a] = label[b] = min(label[a], label[b])
+                changed = True
+    got = components.connected_components(spark.createDataFrame(edges, "a long, b long"))
+    assert {r["node"]: r["component"] for r in got.collect()} == label
+
+
+# --- 10
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_classifier_on_held_out_labels(spark):
+    d = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    got = quality_classifier.quality_posteriors(spark.read.parquet(f"{d}/documents.parquet"), labels.where("doc_id % 2 = 0"))
+    held = got.join(labels.where("doc_id % 2 = 1"), "doc_id").select("quality", "kept", labels["quality"].alias("truth")).collect()
+    right = sum(r["kept"] == (r["truth"] == 1) for r in held) / len(held)
+    clean = [r["kept"] for r in held if r["truth"] == 1]
+    assert right > 0.97 and sum(clean) / len(clean) > 0.99
+
+
+def test_classifier_edges(spark, docs, empty):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = quality_classifier.quality_posteriors(clashing(docs), none).collect()
+    assert len(got) == len(corpus()) and all(r["kept"] and r["evidence"] == 0 for r in got)
+    labels = spark.createDataFrame([(i, int(i < 40), 0) for i in range(93)] + [(93, 0, 0), (None, 1, 0), (3, None, 0), (4, 0, 1)], "doc_id long, quality int, toxic int")
+    got = quality_classifier.quality_posteriors(docs, labels).collect()
+    assert len(got) == len(corpus()) and all(0 <= r["quality"] <= 1 for r in got)
+    assert quality_classifier.quality_posteriors(empty, labels).count() == 0
+
+
+def test_site_posteriors_shrink(spark):
+    """A sparse site stays near the global prior, a large one near its own mean."""
+    sites = spark.createDataFrame([(1000, 900.0), (1000, 200.0), (1000, 500.0), (2, 2.0)], "n long, s double")
+    k = quality_classifier.strength(sites)
+    assert 1 <= k < 100
+    assert quality_classifier.strength(spark.createDataFrame([(100, 50.0)] * 5, "n long, s double")) == quality_classifier.STRONGEST
+
+
+# --- common
+
+
+def test_scratch_is_shared_or_local(spark):
+    assert common.scratch_dir(spark).startswith("file:/")
+    df = common.materialize(spark.range(10).withColumnRenamed("id", "x"), "t")
+    assert df.count() == 10
+    common.discard(df)
+    assert common.small_or_whole(common.materialize(spark.range(10), "t"), 3).count() == 10
