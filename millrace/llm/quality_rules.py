@@ -68,14 +68,14 @@ def measures(text: Column) -> Column:
     """A struct of the base counts of a text, all long: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines."""
     whole = F.coalesce(text, F.lit(""))
     words = F.filter(F.split(whole, f"{SPACE}+"), lambda w: w != "")
-    of_words = let(words, lambda w: F.struct(F.size(w).alias("n"), _repeated_words(w).alias("r")))
+    of_words = let(words, lambda w: F.struct(F.size(w).alias("n"), F.length(F.array_join(w, "")).alias("c"), _repeated_words(w).alias("r")))
     lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike(WORD))
     of_lines = let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("d")))
 
     def packed(pair: Column) -> Column:
         return F.struct(
             pair["w"]["n"].cast("long").alias("n_words"),
-            (F.length(whole) - F.regexp_count(whole, F.lit(SPACE))).cast("long").alias("word_chars"),
+            pair["w"]["c"].cast("long").alias("word_chars"),
             F.regexp_count(whole, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
             pair["l"]["d"].cast("long").alias("n_dup_lines"),
             pair["w"]["r"].cast("long").alias("n_repeat_words"),
@@ -129,12 +129,14 @@ def _rejected() -> Column:
 
 
 def _measured(docs: DataFrame, text: str, stratum: str) -> DataFrame:
-    m = docs.select(F.col("doc_id"), F.col(stratum).alias("stratum"), measures(F.col(text)).alias("m"))
-    return m.select("doc_id", "stratum", "m.*")
+    key = F.xxhash64(F.col("doc_id"), F.col(text), F.col(stratum))
+    m = docs.select(F.col("doc_id"), F.col(stratum).alias("stratum"), key.alias("key"), measures(F.col(text)).alias("m"))
+    return m.select("doc_id", "stratum", "key", "m.*")
 
 
-def _judged(measured: DataFrame, cuts: DataFrame) -> DataFrame:
-    cuts = cuts.withColumnRenamed("stratum", "of")
+def _judged(docs: DataFrame, labels: DataFrame, text: str, stratum: str) -> DataFrame:
+    measured = materialize(_measured(docs, text, stratum), "measures")
+    cuts = materialize(safe_cutoffs(measured, labels), "cutoffs").withColumnRenamed("stratum", "of")
     joined = measured.join(small_or_whole(cuts), F.col("stratum").eqNullSafe(F.col("of")), "left")
     failed = F.expr(BASE_FAILED)
     return joined.withColumn("base_failed", failed).withColumn("kept", ~failed & ~_rejected())
@@ -142,16 +144,15 @@ def _judged(measured: DataFrame, cuts: DataFrame) -> DataFrame:
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, text: str = "text", stratum: str = "lang") -> DataFrame:
     """One row per document: doc_id, the base counts, base_failed, kept. The texts are read once and never shuffled."""
-    measured = materialize(_measured(docs, text, stratum), "measures")
-    cuts = materialize(safe_cutoffs(measured, labels), "cutoffs")
-    return _judged(measured, cuts).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    out = _judged(docs, labels, text, stratum)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", stratum: str = "lang") -> DataFrame:
-    """The documents that pass, all their columns. Measures are taken anew beside the texts: that costs a second reading
-    but spares a shuffle of all texts."""
-    measured = materialize(_measured(docs, text, stratum), "measures")
-    cuts = materialize(safe_cutoffs(measured, labels), "cutoffs")
-    rows = docs.select(F.struct("*").alias("row"))
-    m = rows.select("row", F.col(f"row.{stratum}").alias("stratum"), measures(F.col(f"row.{text}")).alias("m")).select("row", "stratum", "m.*")
-    return _judged(m, cuts).where("kept").select("row.*")
+    """The documents that pass, all their columns. Texts are measured once; the rejected rows are then left out by doc_id
+    and a hash of the row, from a broadcast while they are few, so that texts are only shuffled where they are many."""
+    bad = _judged(docs, labels, text, stratum).where("not kept").select(F.col("doc_id").alias("bad_id"), F.col("key").alias("bad_key")).distinct()
+    bad = materialize(bad, "rejected")
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col("doc_id"), F.col(text), F.col(stratum)).alias("key"))
+    same = (F.col("key") == F.col("bad_key")) & F.col("row.doc_id").eqNullSafe(F.col("bad_id"))
+    return rows.join(small_or_whole(bad), same, "left_anti").select("row.*")
