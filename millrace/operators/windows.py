@@ -62,5 +62,5 @@ def ngrams(df: DataFrame, keys: list[str], order: list[str], node: str, sizes: S
 
 def ordered_lists(df: DataFrame, keys: list[str], order: list[str], value: str, name: str = "sequence") -> DataFrame:
     """Each key's values as an array in order."""
-    sorted_ = F.array_sort(F.collect_list(F.struct(*order, value)))
+    sorted_ = F.array_sort(F.collect_list(F.struct(*order, *([value] if value not in order else []))))
     return df.groupBy(*keys).agg(F.transform(sorted_, lambda s: s[value]).alias(name))
