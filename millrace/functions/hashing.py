@@ -7,6 +7,7 @@ import functools
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .core import let, long_sum
 
@@ -84,7 +85,7 @@ def context_hash(board_only: Column, side: Column, cube: Column, owner: Column,
     return out
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def packed_hash(board: pd.Series, cube_log2: pd.Series, owner: pd.Series, away1: pd.Series, away2: pd.Series) -> pd.Series:
     """xxh64 of 32 bytes: the 26 slots as signed bytes, cube log2 and owner as bytes, both aways as u16, signed."""
     import numpy as np

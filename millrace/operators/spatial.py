@@ -7,6 +7,7 @@ import gzip
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .aggregates import mode_by
 
@@ -33,7 +34,7 @@ def tiled(df: DataFrame, x: str, y: str, box: tuple[float, float, float, float],
     return out.withColumns({"tile_x": at(x, x0, x1), "tile_y": at(y, y0, y1)})
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def gzipped(text: pd.Series) -> pd.Series:
     return text.map(lambda s: gzip.compress(s.encode(), mtime=0))
 

@@ -60,8 +60,9 @@ def residuals(df: DataFrame, key: str, y: str, x: str) -> DataFrame:
 
 def ks_two_sample(df: DataFrame, flag: str, value: str) -> DataFrame:
     """The two-sample Kolmogorov-Smirnov distance of value between rows with and without the flag."""
-    c = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count_if(F.col(flag)).alias("a"), F.count_if(~F.col(flag)).alias("b"))
-    w, all_ = Window.orderBy(value), Window.partitionBy()
+    rows = df.where(F.col(value).isNotNull()).select(F.col(value).alias("v"), F.col(flag).alias("f"))
+    c = rows.groupBy("v").agg(F.count_if("f").alias("a"), F.count_if(~F.col("f")).alias("b"))
+    w, all_ = Window.orderBy("v"), Window.partitionBy()
     gap = F.abs(F.sum("a").over(w) / F.sum("a").over(all_) - F.sum("b").over(w) / F.sum("b").over(all_))
     return c.select(gap.alias("gap"), F.sum("a").over(all_).alias("na"), F.sum("b").over(all_).alias("nb")).agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.max("gap").alias("ks"))
 
