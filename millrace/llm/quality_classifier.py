@@ -31,10 +31,8 @@ from pyspark.sql import types as T
 
 from .common import BROADCAST_ROWS, is_empty, materialize, small_or_whole
 
-#: Labelled documents of either kind that the model is fitted on at most, chosen by a hash of doc_id, and the characters of
-#: each that it reads then. Scoring reads whole texts.
+#: Labelled documents of either kind that the model is fitted on at most, chosen by a hash of doc_id, with their whole texts.
 FIT_ROWS = 4_000
-FIT_CHARACTERS = 20_000
 #: Hash buckets of the word model.
 BUCKETS = 1 << 18
 CUT = 0.5
@@ -49,7 +47,7 @@ def shape(words: list[bytes], text: str) -> list[float]:
     size = sum(map(len, words))
     signs = sum(map(text.count, "#*$%&|<>!"))
     lines = [x for x in text.split("\n") if x]
-    return [signs / (size + 1), len(set(words)) / (n + 1) if n < 5000 else len(set(words)) / (n + 1) + 0.1, len(set(lines)) / (len(lines) + 1), size / (n + 1) / 10, math.log1p(n) / 10]
+    return [signs / (size + 1), len(set(words)) / (n + 1), len(set(lines)) / (len(lines) + 1), size / (n + 1) / 10, math.log1p(n) / 10]
 
 
 class WordModel:
@@ -132,7 +130,7 @@ def _training(docs: DataFrame, labels: DataFrame) -> WordModel | None:
     order = F.xxhash64(F.lit(11), "doc_id")
     chosen = [labels.where(F.col("good") == g).orderBy(order, "doc_id").limit(FIT_ROWS) for g in (0, 1)]
     chosen = F.broadcast(chosen[0].unionAll(chosen[1]))  # at most 2 * FIT_ROWS rows
-    rows = docs.select("doc_id", F.substring("text", 1, FIT_CHARACTERS).alias("text")).join(chosen, "doc_id").where("text is not null")
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").where("text is not null")
     got = rows.orderBy("doc_id", "text").limit(4 * FIT_ROWS).select("text", "good").toArrow()
     return fit(got.column("text").to_pylist(), got.column("good").to_numpy())
 
