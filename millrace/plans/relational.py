@@ -113,12 +113,12 @@ def not_in_gc(spark: SparkSession, d: str) -> DataFrame:
     return joins.not_in(table(spark, d, "customer").select("c_custkey"), "c_custkey", table(spark, d, "orders").where("o_orderstatus = 'F'"), "o_custkey")
 
 
-@query("""SELECT n_name, c_mktsegment, count(*) AS n_lines, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
+@query("""SELECT n_name, c_mktsegment, count(*) AS n_lines, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL""")
 def three_way_rollup(spark: SparkSession, d: str) -> DataFrame:
     nation = F.broadcast(table(spark, d, "nation"))  # a fixed list of 25 rows
     j = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.expr("l_orderkey = o_orderkey")).join(table(spark, d, "customer"), F.expr("o_custkey = c_custkey")).join(nation, F.expr("c_nationkey = n_nationkey"))
-    return j.groupBy("n_name", "c_mktsegment").agg(F.count("*").alias("n_lines"), F.round(F.sum(F.expr("l_extendedprice * (1 - l_discount)")), 2).alias("revenue"))
+    return j.groupBy("n_name", "c_mktsegment").agg(F.count("*").alias("n_lines"), F.round(F.sum(F.expr("l_extendedprice * (1 - l_discount)")), 4).alias("revenue"))
 
 
 @query("""SELECT count(*) AS n, round(sum(l_quantity), 2) AS qty FROM lineitem JOIN orders ON l_orderkey = o_orderkey
@@ -270,13 +270,13 @@ def union_volume_having(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT c_custkey, count(DISTINCT o_orderkey) AS games, count(DISTINCT CASE WHEN o_orderstatus = 'F' THEN o_orderkey END) AS won,
-count(l_orderkey) AS moves, round(avg(l_discount), 6) AS avg_error, round(avg(CASE WHEN l_discount > 0.08 THEN 1.0::DOUBLE ELSE 0 END), 6) AS blunders
+count(l_orderkey) AS moves, round(avg(l_discount), 10) AS avg_error, round(avg(CASE WHEN l_discount > 0.08 THEN 1.0::DOUBLE ELSE 0 END), 10) AS blunders
 FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1 HAVING count(DISTINCT o_orderkey) >= 5""")
 def career_stats(spark: SparkSession, d: str) -> DataFrame:
     """Games are counted before they fan out into moves, so a won game counts once."""
     per = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("m"), F.sum("l_discount").alias("s"), F.count("l_discount").alias("c"), F.count_if(F.col("l_discount") > 0.08).alias("b"))
     g = table(spark, d, "orders").join(per, F.expr("l_orderkey = o_orderkey"))
-    out = g.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("games"), F.count_if(F.col("o_orderstatus") == "F").alias("won"), F.sum("m").alias("moves"), r6(F.sum("s") / F.sum("c")).alias("avg_error"), r6(F.sum("b") / F.sum("m")).alias("blunders"))
+    out = g.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("games"), F.count_if(F.col("o_orderstatus") == "F").alias("won"), F.sum("m").alias("moves"), F.round(F.sum("s") / F.sum("c"), 10).alias("avg_error"), F.round(F.sum("b") / F.sum("m"), 10).alias("blunders"))
     customers = table(spark, d, "customer").select("c_custkey")
     return joins.having(out.where("games >= 5"), customers, "c_custkey")
 
