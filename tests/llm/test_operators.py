@@ -496,7 +496,8 @@ def test_classifier_on_held_out_labels(spark):
     d = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{d}/labels.parquet")
     got = quality_classifier.quality_posteriors(spark.read.parquet(f"{d}/documents.parquet"), labels.where("doc_id % 2 = 0"))
-    held = got.join(labels.where("doc_id % 2 = 1"), "doc_id").select("quality", "kept", labels["quality"].alias("truth")).collect()
+    truth = labels.where("doc_id % 2 = 1").select("doc_id", F.col("quality").alias("truth"))
+    held = got.join(truth, "doc_id").select("kept", "truth").collect()
     right = sum(r["kept"] == (r["truth"] == 1) for r in held) / len(held)
     clean = [r["kept"] for r in held if r["truth"] == 1]
     assert right > 0.97 and sum(clean) / len(clean) > 0.99
@@ -524,7 +525,7 @@ def test_site_posteriors_shrink(spark):
 
 
 def test_scratch_is_shared_or_local(spark):
-    assert common.scratch_dir(spark).startswith("file:/")
+    assert common.scratch_dir(spark).endswith("/millrace")
     df = common.materialize(spark.range(10).withColumnRenamed("id", "x"), "t")
     assert df.count() == 10
     common.discard(df)
