@@ -5,7 +5,7 @@ import collections
 import numpy as np
 import public_tokenizers
 import pytest
-from test_operators import SCHEMA, corpus, cut_by_hand, filled_by_hand, grouped_by_hand, measured_by_hand
+from test_llm_operators import SCHEMA, corpus, cut_by_hand, filled_by_hand, grouped_by_hand, measured_by_hand
 
 import corpus_pipeline
 from millrace.llm import sentencepiece_nbest
