@@ -335,10 +335,33 @@ def theme_rows(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("pip_diff", F.col("pip_p1") - F.col("pip_p2"))
 
 
-@query(None)
+def _theme_rows_sql() -> str:
+    def side(x: str, n: str) -> str:
+        return f"""{_PIP.format(x)} AS pip_{n}, {x}[1] AS bar_{n}, {x}[26] AS off_{n}, len(list_filter({x}[2:25], lambda v: v = 1)) AS blots_{n}, len(list_filter({x}[2:25], lambda v: v >= 2)) AS made_{n},
+{_run(_bits(f"{x}[2:25]", ">= 2"))} AS prime_{n}, len(list_filter({x}[2:7], lambda v: v >= 2)) AS home_{n}, list_sum({x}[20:25]) AS back_{n}"""
+
+    inner = f"""SELECT *, b AS board_p1, c AS board_p2, {side("b", "p1")}, {side("c", "p2")}, {_BACK.format("b")} AS far1, {_BACK.format("c")} AS far2, list_filter(range(1, 25), lambda y: c[26 - y] = 1) AS t,
+list_sum(b[8:25]) AS out1, list_sum(c[8:25]) AS out2, len(list_filter(range(1, 25), lambda i: b[i + 1] = 1 AND ((i > 1 AND b[i] < 2) OR (i < 24 AND b[i + 2] < 2)))) AS num_builders_p1,
+coalesce(list_max(list_filter(range(19, 25), lambda i: b[i + 1] >= 2)), 0) AS back_anchor_p1, len(list_filter(b[8:19], lambda v: v = 1)) AS outfield_blots_p1, len(list_filter(b[21:25], lambda v: v >= 2)) AS anchors_back_p1,
+b[25] >= 2 AND len(list_filter(b[20:24], lambda v: v >= 2)) = 0 AS ace_anchor_only_p1, CASE WHEN part % 2 = 0 THEN 'checker' ELSE 'cube' END AS decision_type, ['No Double', 'Double/Take', 'Double/Pass'][supp % 3 + 1] AS cube_action_optimal,
+(part % 101) / 101.0::DOUBLE AS eval_win, (part % 53) / 53.0::DOUBLE AS gammon_threat, (part % 47) / 47.0::DOUBLE AS gammon_risk FROM {POSITIONS}"""
+    rows = f"""SELECT *, pip_p1 - pip_p2 AS pip_diff, CASE WHEN out1 = 0 AND b[1] = 0 AND out2 = 0 AND c[1] = 0 THEN 2 WHEN b[1] > 0 OR c[1] > 0 OR far1 + far2 > 24 THEN 0 ELSE 1 END AS match_phase,
+CASE WHEN far1 <= 7 THEN 0 ELSE {_run(_bits("b[8:far1 + 1]", "= 0"))} END AS max_gap_p1,
+CASE WHEN b[1] > 0 THEN len(list_filter(t, lambda y: y = 25 - dice[1] OR y = 25 - dice[2])) > 0 ELSE len(list_filter(t, lambda y: {_hit_sql()})) > 0 END AS can_hit_p1 FROM ({inner})"""
+    flags = {n: "coalesce(" + p.replace("[5]", "[6]") + ", false)" for n, p in themes.STRUCTURAL.items()}
+    flags["various_endgames"] += " AND NOT (" + " OR ".join(flags[n] for n in themes.SPECIFIC_ENDGAMES) + ")"
+    return "SELECT l_returnflag, l_discount, " + ", ".join(f'{p} AS "theme_{n}"' for n, p in flags.items()) + f" FROM ({rows})"
+
+
+_THEMES = f"({_theme_rows_sql()})"
+_NAMES = list(themes.STRUCTURAL)
+_LONG = "(" + " UNION ALL ".join(f"SELECT l_returnflag, l_discount, '{n}' AS theme, \"theme_{n}\" AS f FROM f" for n in _NAMES) + ")"
+
+
+@query(f"""WITH f AS {_THEMES} SELECT theme, count(*) FILTER (f) AS n, round(avg(f::INT::DOUBLE), 9) AS share FROM {_LONG} GROUP BY 1""")
 def theme_frequencies(spark: SparkSession, d: str) -> DataFrame:
-    """Frequencies of all structural themes; each predicate has a positive and a negative case in the tests."""
-    return themes.frequencies(themes.structural(theme_rows(spark, d)), list(themes.STRUCTURAL))
+    """Frequencies of all structural themes."""
+    return themes.frequencies(themes.structural(theme_rows(spark, d)), _NAMES).withColumn("share", F.round("share", 9))
 
 
 @query(None)
@@ -357,9 +380,10 @@ def theme_primary(spark: SparkSession, d: str) -> DataFrame:
     return themes.primary(full, order).groupBy("primary_theme").agg(F.count("*").alias("n"), r6(F.avg("theme_count")).alias("mean_count"), r6(F.avg("l_discount")).alias("avg_error"))
 
 
-@query(None)
+@query(f"""WITH f AS {_THEMES} SELECT l_returnflag, theme, count(*) AS n, round(avg(l_discount), 9) AS avg_error FROM {_LONG} WHERE f GROUP BY 1, 2""")
 def player_themes(spark: SparkSession, d: str) -> DataFrame:
-    return themes.by_player(themes.structural(theme_rows(spark, d)), "l_returnflag", "l_discount", list(themes.STRUCTURAL))
+    out = themes.by_player(themes.structural(theme_rows(spark, d)), "l_returnflag", "l_discount", _NAMES)
+    return out.withColumn("avg_error", F.round("avg_error", 9))
 
 
 _EV = """(SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, 1 + l_linenumber % 2 AS roll, 1 + l_partkey % 13 AS a, 1 + l_suppkey % 11 AS b, CAST(2 ** (l_linenumber % 3) AS INT) AS cube, 0.3::DOUBLE + (l_partkey % 50) / 100.0::DOUBLE AS win,
