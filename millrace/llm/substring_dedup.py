@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, small_or_whole
+from .common import materialize
 
 #: Least words and least sentences of a span; longest sentence before it is cut further.
 SPAN_WORDS = 16
@@ -115,14 +115,14 @@ def _cut(batches):
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(of_key, of_doc, gone): for each document with sentences to remove, its non-first spans as start << 20 | sentences.
 
-    docs: doc_id, key, text. Counting combines map-side. Repeated hashes go to a table, and the join back to it is a
-    broadcast if they are few, else a join whose hot hashes can be split: a span that a third of all documents share meets
-    no single task. Texts are hashed twice rather than writing all spans to disk."""
+    docs: doc_id, key, text. Counting combines map-side. Repeated hashes go to a table, and the join back to it is one whose
+    hot hashes can be split: a span that a third of all documents share meets no single task. Joins are shuffled at every
+    size, so that what is moved grows in proportion. Texts are hashed twice rather than writing all spans to disk."""
     rows = docs.mapInArrow(_hashed, "doc_id long, key long, at int, size int, h1 long, h2 long")
     place = F.struct("doc_id", "key", "at")
     firsts = rows.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.min(place).alias("first"))
     firsts = materialize(firsts.where("c > 1").select("h1", "h2", "first"), "spans")
-    later = rows.join(small_or_whole(firsts), ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
+    later = rows.join(firsts.hint("merge"), ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
     gone = F.shiftleft(F.col("at").cast("long"), 20).bitwiseOR(F.col("size").cast("long"))
     return later.groupBy(F.col("key").alias("of_key"), F.col("doc_id").alias("of_doc")).agg(F.collect_set(gone).alias("gone"))
 
@@ -132,11 +132,9 @@ def _cut_texts(docs: DataFrame, text: str) -> DataFrame:
     key = F.xxhash64(F.col("doc_id"), F.col(text))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), F.col(text).alias("text"))
     gone = materialize(repeated_spans(keyed), "repeats")
-    if (gone.agg(F.sum(F.size("gone"))).first()[0] or 0) <= 1_000_000:
-        gone = small_or_whole(gone, 200_000)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text)).alias("rest"), F.col(text).alias("text"), key.alias("key"))
     on = (F.col("key") == F.col("of_key")) & F.col("rest.doc_id").cast("long").eqNullSafe(F.col("of_doc"))
-    joined = rows.join(gone, on, "left").select("rest", "text", "gone")
+    joined = rows.join(gone.hint("merge"), on, "left").select("rest", "text", "gone")
     schema = T.StructType().add("rest", joined.schema["rest"].dataType).add("text", "string")
     return joined.mapInArrow(_cut, schema.add("n_sentences", "long").add("n_removed", "long").add("removed_words", "long"))
 
