@@ -1,11 +1,16 @@
-"""Substring dedup by sliding sentence spans.
+"""Substring dedup by sliding runs of short pieces.
 
-A text is cut into sentences after `.`, `!`, `?` before white space, and after line ends. A sentence of over 16 words is cut
-further, after words whose hash is a multiple of 8, so that a long passage without full stops has the same cuts wherever it
-stands. From every sentence on, the shortest run of at least two sentences that together hold 16 words or more is hashed
-(words lower-cased, white space folded, 128 bits) and the hashes are joined over all documents. Of each repeated hash the
-first span, by doc_id and then position, stays; every sentence that another span of the hash covers is removed. A passage
-of over 50 words that repeats therefore goes but for its first place, up to a cut sentence at either end.
+A text is cut into sentences after `.`, `!`, `?` before white space, and after line ends. Sentences are cut further by
+content: of every PIECE words in a row that hold no sentence's end, the text is cut after the one with the least hash (the
+last of equal ones). So no piece has over PIECE words, and a cut depends only on the PIECE - 1 words on either side of it.
+From every piece on, the shortest run of at least two pieces that together hold 16 words or more is hashed (words
+lower-cased, white space folded, 128 bits) and the hashes are joined over all documents. Of each repeated hash the first
+span, by doc_id and then position, stays; every piece that another span of the hash covers is removed.
+
+A passage of over 50 words that repeats is thus always found, with or without full stops and wherever it stands in a line:
+its cuts are the same but for PIECE - 1 words at either end, the first common one is among the first 15 words, and a run
+from there ends at a common one. All of the passage goes but for its first place, up to 2 * PIECE - 1 words at its start
+and 3 * (PIECE - 1) at its end. The bounds hold for equal words in equal lines: a line end inside a passage is a cut of its own.
 
 Defined results: texts without a repeated span come back unchanged, byte by byte; null texts stay null; sentences of no
 words belong to the run around them but start none. Rows with equal doc_id and text count as one document, so repeated rows
@@ -25,46 +30,100 @@ from pyspark.sql import types as T
 
 from .common import materialize
 
-#: Least words and least sentences of a span; longest sentence before it is cut further.
+#: Least words and least pieces of a span; most words of a piece.
 SPAN_WORDS = 16
 SPAN_SENTENCES = 2
-LONG = 16
+PIECE = 8
+#: Words whose hashes a worker keeps.
+KNOWN = 1_000_000
 
 _END = re.compile(r"(?<=[.!?])\s+|\n+")
 _WORD = re.compile(r"\S+\s*")
 
 
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) >= KNOWN:
+            self.clear()
+        out = self[word] = xxhash.xxh3_64_intdigest(word)
+        return out
+
+
+_hash = _Hashes()
+
+
+def _cuts(words: list[str]) -> list[int]:
+    """Where a sentence of these lower-cased words is cut: numbers of words before each cut, and of all words."""
+    n = len(words)
+    if n <= PIECE:
+        return [n]
+    h = [_hash[w] for w in words]
+    out, at, least = [], -1, 0
+    for end in range(PIECE - 1, n - 1):  # the last word ends the sentence, so windows with it have a cut
+        first = end - PIECE + 1
+        if at < first:
+            least = min(h[first : end + 1])
+            at = end
+            while h[at] != least:
+                at -= 1
+            out.append(at + 1)
+        elif h[end] <= least:
+            least, at = h[end], end
+            out.append(at + 1)
+    out.append(n)
+    return out
+
+
 def sentences(text: str) -> list[str]:
     """Pieces that join to the text, each with the white space after it."""
-    out, at = [], 0
+    whole, at = [], 0
     for m in _END.finditer(text):
-        out.append(text[at : m.end()])
+        whole.append(text[at : m.end()])
         at = m.end()
     if at < len(text):
-        out.append(text[at:])
-    if all(x.count(" ") < LONG for x in out):
-        return out
-    cut = []
-    for x in out:
-        if x.count(" ") < LONG:
-            cut.append(x)
+        whole.append(text[at:])
+    out = []
+    for x in whole:
+        cuts = _cuts(x.lower().split())
+        if len(cuts) == 1:
+            out.append(x)
+            continue
+        words, at = _WORD.findall(x), 0
+        words[0] = x[: len(x) - len(x.lstrip())] + words[0]
+        for end in cuts:
+            out.append("".join(words[at:end]))
+            at = end
+    return out
+
+
+def _worded(text: str) -> list[list[str]]:
+    """The lower-cased words of each of the text's pieces."""
+    whole = _END.split(text)
+    if not whole[-1]:
+        whole.pop()
+    out = []
+    for x in whole:
+        words = x.lower().split()
+        if len(words) <= PIECE:
+            out.append(words)
             continue
         at = 0
-        for m in _WORD.finditer(x):
-            if xxhash.xxh3_64_intdigest(m.group().strip().lower()) % 8 == 0 and m.end() < len(x):
-                cut.append(x[at : m.end()])
-                at = m.end()
-        cut.append(x[at:])
-    return cut
+        for end in _cuts(words):
+            out.append(words[at:end])
+            at = end
+    return out
 
 
 def spans(pieces: list[str]) -> list[tuple[int, int, bytes]]:
-    """(first sentence, sentences, hash) of the shortest full run from each sentence that has words."""
-    words = [x.lower().split() for x in pieces]
+    """(first piece, pieces, hash) of the shortest full run from each piece that has words."""
+    return _spans([x.lower().split() for x in pieces])
+
+
+def _spans(words: list[list[str]]) -> list[tuple[int, int, bytes]]:
     size = [len(x) for x in words]
     hashes = [xxhash.xxh3_128_digest(" ".join(x)) if x else b"" for x in words]
     out, end, total = [], 0, 0
-    n = len(pieces)
+    n = len(words)
     for i in range(n):
         while end < n and (total < SPAN_WORDS or end - i < SPAN_SENTENCES):
             total += size[end]
@@ -82,7 +141,7 @@ def _hashed(batches):
     for batch in batches:
         row, at, size, digests = [], [], [], []
         for i, text in enumerate(batch.column(2).to_pylist()):
-            for a, k, h in spans(sentences(text)) if text else ():
+            for a, k, h in _spans(_worded(text)) if text else ():
                 row.append(i), at.append(a), size.append(k), digests.append(h)
         of = pa.array(np.array(row, np.int64))
         h = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)

@@ -275,6 +275,24 @@ def test_passages_without_full_stops_are_cut_alike():
     assert places[0] & places[1]
 
 
+@pytest.mark.parametrize("stops", [True, False])
+def test_every_passage_of_51_words_is_found(stops):
+    rng = random.Random(11)
+    plain = lambda n: [rng.choice(WORDS) + rng.choice(WORDS) for _ in range(n)]
+    words = lambda n: prose(rng, n + 14).split()[:n] if stops else plain(n)
+    bound = 5 * substring_dedup.PIECE - 4
+    for trial in range(400):
+        passage = words(51)
+        texts = [gap.join(words(rng.randint(0, 30)) + passage + words(rng.randint(0, 30))) for gap in (" ", "\t" if trial % 2 else " ")]
+        pieces = [substring_dedup.sentences(t) for t in texts]
+        assert ["".join(x) for x in pieces] == texts
+        assert [[y.lower().split() for y in x] for x in pieces] == [substring_dedup._worded(t) for t in texts]
+        assert max(len(y.split()) for x in pieces for y in x) <= substring_dedup.PIECE
+        first = {h for _, _, h in substring_dedup.spans(pieces[0])}
+        gone = {k for at, n, h in substring_dedup.spans(pieces[1]) if h in first for k in range(at, at + n)}
+        assert sum(len(pieces[1][k].split()) for k in gone) >= max(substring_dedup.SPAN_WORDS, 51 - bound)
+
+
 # --- 7
 
 
