@@ -1,12 +1,13 @@
-"""Embedding near-dedup by sorted projection passes.
+"""Embedding near-dedup by exact comparison, block against block.
 
-In every pass each vector gets the signs of 20 random projections as a code, and vectors are ordered by label, code and id.
-Near vectors agree in most signs, so they stand close in the order of some pass. A window of bounded length slides along
-each partition; the vectors in it are compared exactly (cosine in double precision) and each pass reports a spanning forest of its
-verified pairs. The forests of all passes are united into components.
+The vectors of a label are dealt into blocks by hash. Every pair of blocks of a label meets in one group, where all pairs of
+vectors are compared exactly (cosine in double precision). A group gives, for each of its vectors, the weighted number of its
+links there and the least row that it reaches there; no pair is written. Counts are summed over groups and the reached rows
+are united into components. So no link is lost, whatever the size of a label and however close its vectors lie.
 
-Direct links are then counted inside each component: members are compared block against block, so counts need no pair to be
-written and no cap holds. A link is lost only if no pass joined its two ends in any way.
+Comparisons grow with the square of a label's size. Up to SPLIT blocks a label's blocks hold about BLOCK vectors; beyond that
+they grow to SPLIT times as many before their number does, so that a vector is copied to at most SPLIT groups while a
+label has SPLIT * SPLIT * BLOCK vectors or fewer.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and vectors without a label,
 link with nothing, as do vectors of different lengths. Rows with equal label and vector are one class, compared once, and
@@ -16,30 +17,20 @@ result.
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, partitions_for, small_or_whole
+from .common import materialize, small_or_whole
 from .components import connected_components
 
 COSINE = 0.98
-PASSES = 10
-BITS = 20
-#: Vectors before it that each vector is compared with, and members of a block in the count.
+#: Vectors that are compared with a block at a time, and vectors of a block while a label has at most SPLIT of them.
 WINDOW = 512
 BLOCK = 1024
-#: Vectors of a range partition of a pass.
-EACH = 16_384
-
-
-@functools.lru_cache(maxsize=8)
-def projections(dim: int, passes: int, bits: int, seed: int) -> np.ndarray:
-    return np.random.default_rng([seed, dim]).standard_normal((dim, passes * bits))
+SPLIT = 8
 
 
 def _read(batches):
@@ -58,116 +49,73 @@ def _read(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), labels, pa.array(dims, pa.int32()), pa.array(out, pa.binary())], ["vec_id", "label", "dim", "v"])
 
 
-def _coded(passes: int, bits: int, seed: int):
-    """(cid, label, dim, v) to (pass, label, dim, code, cid, v), a row for each pass."""
-
-    def run(batches):
-        for batch in batches:
-            dims = batch.column(2).to_numpy()
-            for d in np.unique(dims):
-                rows = batch.filter(pa.array(dims == d))
-                m = np.frombuffer(b"".join(rows.column(3).to_pylist()), "<f8").reshape(-1, d)
-                signs = (m @ projections(int(d), passes, bits, seed) > 0).reshape(len(m), passes, bits)
-                codes = signs @ (1 << np.arange(bits - 1, -1, -1, dtype=np.int64))
-                for p in range(passes):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), p, np.int32)), rows.column(1), rows.column(2), pa.array(np.ascontiguousarray(codes[:, p])), rows.column(0), rows.column(3)], ["pass", "label", "dim", "code", "cid", "v"])
-
-    return run
-
+def units(m: np.ndarray) -> np.ndarray:
+    """Rows of length 1; no row is zero."""
+    return m / np.sqrt((m * m).sum(1))[:, None]
 
-def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cosines of all rows of a with all rows of b, in double precision; no row is zero."""
-    return (a @ b.T) / (np.sqrt((a * a).sum(1))[:, None] * np.sqrt((b * b).sum(1))[None, :])
 
-
-def _groups(batches, keys: list[int], ids: int, vector: int, most: int):
-    """Runs of equal keys in sorted batches as (key, ids, vectors, new): pieces of at most `most` new rows, after up to
-    WINDOW rows of the same run that went before."""
-    held_key, held_ids, held = None, None, None
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        change = np.zeros(n, bool)
-        for c in columns:
-            change[1:] |= c[1:] != c[:-1]
-        cid = batch.column(ids).to_numpy(zero_copy_only=False)
-        vectors = batch.column(vector).to_pylist()
-        cuts = [0, *np.flatnonzero(change).tolist(), n]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            key = tuple(c[a] for c in columns)
-            for i in range(a, b, most):
-                j = min(b, i + most)
-                m = np.frombuffer(b"".join(vectors[i:j]), "<f8").reshape(j - i, -1)
-                if key == held_key:
-                    new, all_ids, all_m = len(held_ids), np.concatenate([held_ids, cid[i:j]]), np.concatenate([held, m])
-                else:
-                    new, all_ids, all_m = 0, cid[i:j], m
-                yield key, all_ids, all_m, new
-                held_key, held_ids, held = key, all_ids[-WINDOW:], all_m[-WINDOW:]
-
-
-def spanning(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The least row that each of n rows reaches over the pairs x, y."""
-    label = np.arange(n)
+def spanning(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least row that each row reaches over the pairs x, y, where label names the least one it reached before them.
+    Only least rows are hooked to lesser ones, so nothing reached before is lost."""
     while True:
-        new = label.copy()
-        np.minimum.at(new, x, label[y])
-        np.minimum.at(new, y, label[x])
-        new = new[new]
-        if (new == label).all():
+        a, b = label[x], label[y]
+        apart = a != b
+        if not apart.any():
             return label
-        label = new
-
-
-def _forest(least: float):
-    """Rows sorted by pass, label, dim, code and cid: pairs that connect what links within each window."""
-
-    def run(batches):
-        for _, ids, m, new in _groups(batches, [0, 1, 2], 4, 5, WINDOW):
-            x, y = np.nonzero(cosines(m[new:], m) >= least)
-            x += new
-            label = spanning(len(ids), x, y)
-            own = np.flatnonzero(label != np.arange(len(ids)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[label[own]])], ["a", "b"])
-
-    return run
-
-
-def _counted(least: float):
-    """Rows (comp, i, j, side, cid, weight, v) sorted by comp, i, j, side to (cid, n): links of each row, weighted, with
-    the rows of the other block, or inside a block with the others. Groups hold at most two blocks."""
-
-    def count(side: np.ndarray, cid: np.ndarray, weight: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if not len(y):
-            link = cosines(m[x], m[x]) >= least
-            np.fill_diagonal(link, False)
-            return cid[x], link @ weight[x]
-        link = cosines(m[x], m[y]) >= least
-        return np.concatenate([cid[x], cid[y]]), np.concatenate([link @ weight[y], weight[x] @ link])
+        x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def compared(side: np.ndarray, weight: np.ndarray, m: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the summed weight of its links and the least row that it reaches: links of side 0 with side 1, or with
+    each other where there is no side 1. Sides are in order; WINDOW rows are compared at a time."""
+    n, cut = len(side), int((side == 0).sum())
+    u, count, label = units(m), np.zeros(n, np.int64), np.arange(n)
+    own = cut == n
+    for s in range(0, cut, WINDOW):
+        e = min(s + WINDOW, cut)
+        at = s if own else cut
+        link = u[s:e] @ u[at:].T >= least
+        if own:
+            link[:, : e - s] &= ~np.tri(e - s, dtype=bool)  # each pair once, no row with itself
+        x, y = np.nonzero(link)
+        if len(x):
+            x, y = x + s, y + at
+            np.add.at(count, x, weight[y]), np.add.at(count, y, weight[x])
+            label = spanning(label, x, y)
+    return count, label
+
+
+def _met(least: float):
+    """Rows (grp, dim, i, j, side, cid, weight, v) sorted by the first five to (cid, n, root): the weight of each row's
+    links in its group, and a row that it reaches there."""
 
     def run(batches):
-        held = None
+        held = []
         for batch in _then_none(batches):
             if batch is not None:
                 if not batch.num_rows:
                     continue
-                rows = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
-                rows.append(np.array(batch.column(6).to_pylist(), object))
-                held = rows if held is None else [np.concatenate(x) for x in zip(held, rows, strict=True)]
-            if held is None:
+                held.append(batch)
+                key = [[b.column(k)[at].as_py() for k in range(4)] for b, at in ((held[0], 0), (batch, batch.num_rows - 1))]
+                if key[0] == key[1]:
+                    continue  # one group so far
+            if not held:
                 break
-            new = np.flatnonzero((np.diff(held[0]) != 0) | (np.diff(held[1]) != 0) | (np.diff(held[2]) != 0)) + 1
-            ends = [0, *new.tolist()] + ([len(held[0])] if batch is None else [])
-            ids, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            rows = pa.Table.from_batches(held)
+            keys = [rows.column(k).to_numpy() for k in range(4)]
+            new = np.flatnonzero(np.logical_or.reduce([np.diff(k) != 0 for k in keys])) + 1
+            ends = [0, *new.tolist()] + ([rows.num_rows] if batch is None else [])
             for s, e in zip(ends, ends[1:], strict=False):
-                m = np.frombuffer(b"".join(held[6][s:e]), "<f8").reshape(e - s, -1)
-                a, b = count(held[3][s:e], held[4][s:e], held[5][s:e], m)
-                ids.append(a), counts.append(b)
-            held = [x[ends[-1] :] for x in held]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(counts).astype(np.int64))], ["cid", "n"])
+                group = rows.slice(s, e - s)
+                side, cid, weight = (group.column(k).to_numpy() for k in (4, 5, 6))
+                m = np.frombuffer(b"".join(group.column(7).to_pylist()), "<f8").reshape(e - s, -1)
+                n, root = compared(side, weight, m, least)
+                on = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(cid[on]), pa.array(n[on]), pa.array(cid[root[on]])], ["cid", "n", "root"])
+            held = [b for b in rows.slice(ends[-1]).to_batches() if b.num_rows]
 
     return run
 
@@ -177,7 +125,7 @@ def _then_none(batches):
     yield None
 
 
-def embedding_links(vectors: DataFrame, cosine: float = COSINE, passes: int = PASSES, bits: int = BITS, seed: int = 5) -> DataFrame:
+def embedding_links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """One row per row of vectors (vec_id, embedding, label): vec_id, n_links, component_id, kept."""
     plain = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").cast("array<double>").alias("e"))
     label = plain.schema["label"].dataType
@@ -187,22 +135,18 @@ def embedding_links(vectors: DataFrame, cosine: float = COSINE, passes: int = PA
     digest = F.xxhash64("label", "v")
     classes = materialize(classes.withColumn("cid", digest), "classes")
 
-    n = partitions_for(rows.sparkSession, classes.count() * passes, EACH)
-    coded = classes.select("cid", "label", "dim", "v").mapInArrow(_coded(passes, bits, seed), T.StructType().add("pass", T.IntegerType()).add("label", label).add("dim", T.IntegerType()).add("code", "long").add("cid", "long").add("v", "binary"))
-    order = ["pass", "label", "dim", "code", "cid"]
-    # a range partition by pass, label and leading code bits; the quantiles come from a second, cheap run of the codes
-    ranged = coded.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    links = materialize(ranged.mapInArrow(_forest(cosine), "a long, b long").distinct(), "links")
-    comps = connected_components(links)
-
-    linked = comps.withColumnsRenamed({"node": "cid", "component": "comp"}).join(classes, "cid")
-    size = linked.groupBy("comp").agg(F.count("*").alias("size"))
-    nb = F.ceil(F.col("size") / BLOCK).cast("int")
-    spread = linked.join(small_or_whole(materialize(size, "sizes")), "comp").withColumn("nb", nb)
+    group = F.xxhash64("label", "dim")
+    sizes = materialize(classes.groupBy(group.alias("grp"), "dim").agg(F.count("*").alias("size")), "sizes")
+    blocks = F.ceil(F.col("size") / BLOCK)
+    blocks = F.greatest(F.least(blocks, F.lit(SPLIT)), F.ceil(F.col("size") / (SPLIT * BLOCK))).cast("int")
+    spread = classes.withColumn("grp", group).join(small_or_whole(sizes), ["grp", "dim"]).withColumn("nb", blocks)
     spread = spread.withColumn("own", F.pmod(F.xxhash64("cid"), "nb").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    spread = spread.select("comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cid", "weight", "v")
-    spread = spread.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "side")
-    counts = spread.mapInArrow(_counted(cosine), "cid long, n long").groupBy("cid").agg(F.sum("n").alias("n"))
+    order = ["grp", "dim", "i", "j", "side"]
+    spread = spread.select("grp", "dim", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cid", "weight", "v")
+    spread = spread.repartition(*order[:4]).sortWithinPartitions(*order)
+    met = materialize(spread.mapInArrow(_met(cosine), "cid long, n long, root long"), "met")
+    counts = met.groupBy("cid").agg(F.sum("n").alias("n"))
+    comps = connected_components(met.where("cid <> root").select(F.col("cid").alias("a"), F.col("root").alias("b")))
 
     named = comps.withColumnsRenamed({"node": "cid", "component": "comp"}).join(classes.select("cid", "rep"), "cid")
     least_id = named.groupBy("comp").agg(F.min("rep").alias("component_id"))

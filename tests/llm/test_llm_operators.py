@@ -133,6 +133,43 @@ def test_embedding_dedup(spark, monkeypatch):
     assert embedding_dedup.embedding_links(df.where("false")).count() == 0
 
 
+def test_close_pairs_of_one_crowded_label_are_all_found(spark):
+    rng = np.random.default_rng(2)
+    n, planted = 9_000, 400
+    center = rng.standard_normal(64)
+    # all pairs at cosines of about 0.95; planted ones at about 0.982
+    x = center / np.linalg.norm(center) + rng.standard_normal((n, 64)) / 35
+    far = math.sqrt(0.018 * 2 * (1 + 64 / 1225)) / 8
+    x[n - planted :] = x[:planted] + far * rng.standard_normal((planted, 64))
+    x = x[rng.permutation(n)].astype(np.float32)
+    df = spark.createDataFrame(list(zip(range(n), x.tolist(), [1] * n, strict=True)), "vec_id long, embedding array<float>, label int").repartition(4)
+    u = x.astype(float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    a, b = np.nonzero(np.triu(u @ u.T >= 0.98, 1))
+    assert len(a) >= planted / 2
+    want = collections.Counter(np.concatenate([a, b]).tolist())
+    comp = list(range(n))
+    for _ in range(20):
+        for i, j in zip(a, b, strict=True):
+            comp[i] = comp[j] = min(comp[i], comp[j])
+    got = embedding_dedup.embedding_links(df).collect()
+    assert {r["vec_id"]: r["n_links"] for r in got if r["n_links"]} == want
+    assert {r["vec_id"]: r["component_id"] for r in got} == dict(enumerate(comp))
+
+
+def test_blocks_are_joined_over_windows(monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "WINDOW", 3)
+    rng = np.random.default_rng(4)
+    for own in (True, False) * 30:
+        m = rng.standard_normal((40, 3))
+        side, weight = np.arange(40) >= (40 if own else 17), rng.integers(1, 4, 40)
+        u = m / np.linalg.norm(m, axis=1)[:, None]
+        link = (u @ u.T >= 0.95) & ~np.eye(40, dtype=bool) & (own | (side[:, None] != side[None, :]))
+        count, root = embedding_dedup.compared(side.astype(int), weight, m, 0.95)
+        reach = np.linalg.matrix_power((link | np.eye(40, dtype=bool)).astype(float), 40) > 0
+        assert (count == link @ weight).all() and (root == reach.argmax(1)).all()
+
+
 # --- 3 and 6
 
 
