@@ -301,12 +301,23 @@ def tenths(spark: SparkSession, d: str) -> DataFrame:
     return walk(spark, d).where("from_node % 10 = to_node % 10").groupBy("from_node", "to_node").agg(F.count("*").alias("n"))
 
 
+def steps(spark: SparkSession, d: str) -> DataFrame:
+    """All edges of the walks."""
+    return walk(spark, d).groupBy("from_node", "to_node").agg(F.count("*").alias("n"))
+
+
 @query(f"""WITH RECURSIVE e AS (SELECT from_node AS a, to_node AS b FROM {_SUB} UNION SELECT to_node, from_node FROM {_SUB}),
 r(a, b) AS (SELECT a, a FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a AS node, min(b) AS component FROM r GROUP BY 1""")
 def weak_components(spark: SparkSession, d: str) -> DataFrame:
     return graph.weak_components(tenths(spark, d))
 
 
+@query(None)
+def weak_components_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Over all edges; checked against brute force in the tests."""
+    return graph.weak_components(steps(spark, d))
+
+
 @query(None)
 def betweenness(spark: SparkSession, d: str) -> DataFrame:
     """Checked against brute force in the tests."""
@@ -316,7 +327,7 @@ def betweenness(spark: SparkSession, d: str) -> DataFrame:
 @query(None)
 def communities(spark: SparkSession, d: str) -> DataFrame:
     """Checked on planted groups in the tests."""
-    return graph.communities(tenths(spark, d))
+    return graph.communities(steps(spark, d))
 
 
 # --- themes and barycentres

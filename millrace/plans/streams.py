@@ -41,6 +41,15 @@ def insert_or_ignore(spark: SparkSession, d: str) -> DataFrame:
     return sinks.new_rows(e.where("event_id % 2 = 0"), e.where("event_id % 7 = 1"), ["user_id", "event_type"], ["event_id"])
 
 
+@query("""WITH n AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS r FROM events WHERE ts >= TIMESTAMP '2024-01-10')
+SELECT user_id, event_type, event_id FROM n WHERE r = 1 AND (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM events WHERE ts < TIMESTAMP '2024-01-10')""")
+def insert_or_ignore_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All events: those before a day are there, those from it on come in."""
+    e = table(spark, d, "events").select("user_id", "event_type", "event_id", "ts")
+    there = F.col("ts") < F.lit("2024-01-10").cast("timestamp_ntz")
+    return sinks.new_rows(e.where(~there).drop("ts"), e.where(there).drop("ts"), ["user_id", "event_type"], ["event_id"])
+
+
 @query("""SELECT user_id, event_id FROM (SELECT user_id, max(event_id) AS event_id FROM events WHERE event_id % 3 = 0 GROUP BY 1)
 UNION ALL SELECT user_id, max(event_id) FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_id % 3 = 0) GROUP BY 1""")
 def insert_or_replace(spark: SparkSession, d: str) -> DataFrame:

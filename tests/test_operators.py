@@ -129,6 +129,21 @@ def test_communities_find_planted_groups(spark):
     assert parts == {1: 1, 2: 1, 3: 1, 5: 5, 6: 5}
 
 
+def test_graph_queries_cover_all_edges(spark):
+    from millrace.plans import domain
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables")
+    pairs = {(r["from_node"], r["to_node"]) for r in domain.walk(spark, d).collect()}
+    least = {x: x for p in pairs for x in p}
+    while any(least[a] != least[b] for a, b in pairs):
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    assert {r["node"]: r["component"] for r in domain.weak_components_whole(spark, d).collect()} == least
+    assert {r["node"] for r in domain.communities(spark, d).collect()} == {x for p in pairs if p[0] != p[1] for x in p}
+
+
 def test_neighbours_and_graph(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((120, 5))
