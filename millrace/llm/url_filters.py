@@ -3,8 +3,10 @@
 A rule names a host, which also stands for its subdomains, and a path prefix; the longest fitting rule decides. Hosts with
 pages that rules allow are trusted seeds and hosts with pages that rules block distrusted ones, each by the share of its
 pages under rules that are so. Trust flows along links by personalised PageRank from the trusted seeds; distrust flows
-against them, from the blocked hosts to those that link to them. A host whose distrust exceeds its trust by more than a
-threshold is blocked; all others, among them those that neither flow reaches, are allowed.
+against them, from the blocked hosts to those that link to them: a host takes the mean distrust of what its links lead to,
+times the damping. So it depends on where a host's own links lead, and not on how many others link to the same blocked
+host. A host whose distrust exceeds its trust by more than a threshold is blocked; all others, among them those that
+neither flow reaches, are allowed.
 
 Edges are the absolute links (http, https and protocol-relative href) between two different hosts, weighted by their number.
 Each step moves a host's score over its out-edges and returns the rest to the seeds; `DAMPING ** STEPS` bounds what further
@@ -31,7 +33,8 @@ RULES = (
 )
 DAMPING = 0.85
 STEPS = 16
-#: By how much distrust may exceed trust, where a host of none but blocked pages has 0.15 of its own.
+#: By how much distrust may exceed trust, where a host of none but blocked pages has 0.15 of its own and one that links to
+#: none but such hosts 0.1275.
 THRESHOLD = 0.1
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -68,7 +71,8 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, steps: int = STEPS, damping: float = DAMPING) -> DataFrame:
-    """(host, score): personalised PageRank from seeds (host, mass; the masses sum to 1) along edges (src, dst, share).
+    """(host, score): what seeds (host, mass) send along edges (src, dst, share), damped at each step. Shares that sum to 1
+    over the edges of a src make it personalised PageRank; over those of a dst, damped means.
 
     Scores that reach a host without out-edges stop there. Only hosts that mass has reached have a row, so work follows
     the flow and not the number of hosts; every fourth step is written to the shared folder."""
@@ -90,8 +94,8 @@ def host_scores(pages: DataFrame, hosts: DataFrame, steps: int = STEPS) -> DataF
     seeded = hosts.where(pages_under > 0)
 
     def flow(src: str, dst: str, kind: str, name: str) -> DataFrame:
-        out = edges.groupBy(src).agg(F.sum("weight").alias("all")).withColumnRenamed(src, "of")
-        shares = edges.join(out, F.col(src) == F.col("of")).select(F.col(src).alias("src"), F.col(dst).alias("dst"), (F.col("weight") / F.col("all")).alias("share"))
+        out = edges.groupBy(F.col("src").alias("of")).agg(F.sum("weight").alias("all"))  # of the host that links, either way
+        shares = edges.join(out, edges["src"] == F.col("of")).select(F.col(src).alias("src"), F.col(dst).alias("dst"), (F.col("weight") / F.col("all")).alias("share"))
         seeds = seeded.where(F.col(kind) > 0).select("host", (F.col(kind) / pages_under).alias("part"))
         total = seeds.agg(F.sum("part")).first()[0] or 1.0
         seeds = seeds.select("host", (F.col("part") / total).alias("mass"))

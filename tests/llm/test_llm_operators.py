@@ -269,6 +269,17 @@ def test_url_filters(spark):
     assert url_filters.url_verdicts(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("linkers", [1, 2, 100])
+def test_distrust_does_not_shrink_with_the_number_of_linkers(spark, linkers):
+    rows = [(0, "http://bad.com/de/1", None)]
+    rows += [(i, f"http://farm{i}.net/", '<a href="http://bad.com/de/1">x</a>') for i in range(1, linkers + 1)]
+    rows += [(1000 + i, f"http://mixed{i}.net/", '<a href="http://bad.com/de/1">x</a><a href="http://fine.net/">x</a>') for i in range(linkers)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in url_filters.url_verdicts(df).collect()}
+    assert all(got[i]["verdict"] == "block" and got[i]["distrust"] == pytest.approx(0.1275) for i in range(1, linkers + 1))
+    assert all(got[1000 + i]["verdict"] == "allow" for i in range(linkers))
+
+
 # --- 5
 
 
