@@ -187,17 +187,17 @@ def fuzzy_graph(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def umap_layout(spark: SparkSession, d: str) -> DataFrame:
-    return ml.umap(table(spark, d, "embeddings"), "vec_id", "embedding", most=2_000, epochs=100)
+    return ml.umap(table(spark, d, "embeddings"), "vec_id", "embedding", epochs=100)
 
 
 @query(None)
 def tsne_layout(spark: SparkSession, d: str) -> DataFrame:
-    return ml.tsne(table(spark, d, "embeddings"), "vec_id", "embedding", most=500, iterations=100)
+    return ml.tsne(table(spark, d, "embeddings"), "vec_id", "embedding", iterations=100)
 
 
 @query(None)
 def hdbscan(spark: SparkSession, d: str) -> DataFrame:
-    return ml.hdbscan(table(spark, d, "embeddings"), "vec_id", "embedding", least=5, most=2_000).groupBy("cluster").agg(F.count("*").alias("n"))
+    return ml.hdbscan(table(spark, d, "embeddings"), "vec_id", "embedding", least=5).groupBy("cluster").agg(F.count("*").alias("n"))
 
 
 @query(None)

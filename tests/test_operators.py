@@ -184,6 +184,28 @@ def test_clusters(spark):
     assert max(iso, key=iso.get) == 120
 
 
+def test_rows_beyond_the_fitted_ones_are_placed(spark):
+    rng = np.random.default_rng(6)
+    centers = ((0, 0), (50, 50), (0, 50))
+    x = np.concatenate([rng.normal(c, 0.1, (60, 2)) for c in centers])
+    far = spark.range(1000, 1100).orderBy(F.xxhash64("id").desc()).first()["id"]  # not among the fitted ones
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(far, [900.0, -900.0])], "id long, v array<double>")
+    some = df.where("id < 180")
+    got = {r["id"]: r["cluster"] for r in ml.hdbscan(df, "id", "v", most=90).collect()}
+    assert set(got) == {*range(180), far} and got[far] == -1
+    for g in range(3):
+        own = [got[i] for i in range(60 * g, 60 * g + 60) if got[i] >= 0]
+        assert len(own) > 30 and not set(own) & {got[i] for i in range(180) if i // 60 != g}
+    at = {r["id"]: (r["x"], r["y"]) for r in ml.umap(some, "id", "v", k=8, most=90, epochs=50).collect()}
+    assert set(at) == set(range(180)) and np.isfinite(list(at.values())).all()
+    y = np.array([at[i] for i in range(180)])
+    middle = np.array([y[60 * g : 60 * g + 60].mean(0) for g in range(3)])
+    nearest = np.linalg.norm(y[:, None] - middle[None], axis=2).argmin(1)
+    assert (nearest == np.arange(180) // 60).mean() > 0.9
+    with pytest.raises(ValueError):
+        ml.tsne(some, "id", "v", most=90)
+
+
 def test_tree_rules(spark):
     df = spark.range(400).select((F.col("id") % 20).cast("double").alias("a"), ((F.col("id") % 20) >= 12).cast("int").alias("y"))
     rules = ml.tree_rules(df, ["a"], "y", depth=2, least=5).collect()
