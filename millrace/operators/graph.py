@@ -62,30 +62,41 @@ def highways(edges: DataFrame, share: float = 0.5) -> DataFrame:
     return edges.groupBy("from_node").agg(F.count("*").alias("moves"), F.sum(F.when(on, F.col("n")).otherwise(0)).alias("highway"), F.sum(F.when(on, 0).otherwise(F.col("n"))).alias("trail"))
 
 
-def weak_components(edges: DataFrame, rounds: int = 30) -> DataFrame:
+def weak_components(edges: DataFrame) -> DataFrame:
     """(node, component) by spreading the least label over edges in both directions until nothing changes.
 
-    For subgraphs of bounded diameter; every round is checkpointed so that plans stay short."""
+    Rounds follow the diameter, and every round is checkpointed so that plans stay short. A label also moves to the label of
+    the node that it names, which halves what is left of a long chain."""
     both = edges.select(F.col("from_node").alias("a"), F.col("to_node").alias("b")).union(edges.select("to_node", "from_node")).distinct()
     label = both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node"))
-    for _ in range(rounds):
+    while True:
         near = both.join(label.select(F.col("node").alias("b"), F.col("component").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
-        new = cut(label.join(near, F.col("node") == F.col("a"), "left").select("node", F.least("component", F.coalesce("c", "component")).alias("new"), "component"))
+        met = label.join(near, F.col("node") == F.col("a"), "left").select("node", F.least("component", F.coalesce("c", "component")).alias("met"), "component")
+        named = label.select(F.col("node").alias("met"), F.col("component").alias("next"))
+        new = cut(met.join(named, "met", "left").select("node", F.least("met", F.coalesce("next", "met")).alias("new"), "component"))
         label = new.select("node", F.col("new").alias("component"))
         if new.where("new <> component").limit(1).count() == 0:
-            break
-    return label
+            return label
 
 
-def betweenness(edges: DataFrame, pivots: int = 16, depth: int = 12) -> DataFrame:
-    """(node, betweenness): shortest-path dependencies from the `pivots` least nodes, unweighted, followed to `depth`.
+def betweenness(edges: DataFrame, pivots: int | None = None, depth: int | None = None, seed: int = 42) -> DataFrame:
+    """(node, betweenness): shortest-path dependencies from all nodes, unweighted, however long the paths.
 
-    Brandes' scheme level by level: path counts go forward, dependencies back. Work grows with pivots times edges."""
+    With `pivots`, from that many nodes in the order of a seeded hash, times all nodes by pivots; with `depth`, of paths of
+    at most that many steps. Brandes' scheme level by level: path counts go forward, dependencies back. Work grows with
+    sources times edges."""
     hop = edges.select(F.col("from_node").alias("u"), F.col("to_node").alias("v")).distinct()
-    seen = hop.select("u").union(hop.select("v")).distinct().orderBy("u").limit(pivots).select(F.col("u").alias("s"), F.col("u").alias("node"))
+    ends, scale = hop.select("u").union(hop.select("v")).distinct(), 1.0
+    if pivots is not None:
+        n = ends.count()
+        scale = max(1.0, n / pivots)
+        ends = ends.orderBy(F.xxhash64("u", F.lit(seed)), "u").limit(pivots)
+    seen = ends.select(F.col("u").alias("s"), F.col("u").alias("node"))
     seen = cut(seen.withColumn("level", F.lit(0)).withColumn("paths", F.lit(1.0)))
     front = seen
-    for level in range(1, depth + 1):
+    level = 0
+    while depth is None or level < depth:
+        level += 1
         nxt = front.join(hop, front["node"] == hop["u"]).groupBy("s", F.col("v").alias("node")).agg(F.sum("paths").alias("paths"))
         nxt = cut(nxt.join(seen.select("s", "node"), ["s", "node"], "left_anti").withColumn("level", F.lit(level)).select("s", "node", "level", "paths"))
         if nxt.limit(1).count() == 0:
@@ -101,7 +112,7 @@ def betweenness(edges: DataFrame, pivots: int = 16, depth: int = 12) -> DataFram
         gain = here.join(hop, here["node"] == hop["u"]).join(below, ["s", "v"]).groupBy("s", "node").agg(F.sum(F.col("paths") / F.col("pv") * (1 + F.col("dv"))).alias("gain"))
         dep = cut(here.join(gain, ["s", "node"], "left").select("s", "node", "level", "paths", F.coalesce("gain", F.lit(0.0)).alias("dep")))
         total = total.unionByName(dep)
-    return total.where("node <> s").groupBy("node").agg(F.sum("dep").alias("betweenness"))
+    return total.where("node <> s").groupBy("node").agg((F.sum("dep") * scale).alias("betweenness"))
 
 
 def communities(edges: DataFrame, rounds: int = 8) -> DataFrame:

@@ -321,7 +321,7 @@ def weak_components_whole(spark: SparkSession, d: str) -> DataFrame:
 @query(None)
 def betweenness(spark: SparkSession, d: str) -> DataFrame:
     """Checked against brute force in the tests."""
-    return graph.betweenness(walk(spark, d), 8, 6)
+    return graph.betweenness(walk(spark, d))
 
 
 @query(None)

@@ -129,6 +129,18 @@ def test_communities_find_planted_groups(spark):
     assert parts == {1: 1, 2: 1, 3: 1, 5: 5, 6: 5}
 
 
+def test_long_chains_are_followed_to_their_end(spark):
+    n = 70
+    chain = frame(spark, "from_node int, to_node int", *((i, i + 1) for i in range(n - 1)))
+    assert {r["component"] for r in graph.weak_components(chain).collect()} == {0}
+    short = frame(spark, "from_node int, to_node int", *((i, i + 1) for i in range(19)))
+    got = {r["node"]: r["betweenness"] for r in graph.betweenness(short).collect()}
+    assert got == {i: float(i * (19 - i)) for i in range(1, 20)}
+    some = graph.betweenness(short, pivots=10).agg(F.sum("betweenness")).first()[0]
+    full = sum(got.values())
+    assert 0.4 * full < some < 2 * full
+
+
 def test_graph_queries_cover_all_edges(spark):
     from millrace.plans import domain
 
