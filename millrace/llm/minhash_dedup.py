@@ -164,8 +164,8 @@ def _verifier(percent: int):
 def _blocks(least: int, percent: int):
     """Rows (bk, i, j, side, cid, comp, band, sk, set) sorted by (bk, i, j, side) to links (a, b) that join components.
 
-    side 0 belongs to block i, side 1 to block j; on the diagonal all rows have side 0. A pair is looked at in the first
-    band that its members share, if their components differ and their sketches agree in `least` coordinates."""
+    side 0 belongs to block i, side 1 to block j; on the diagonal all rows have side 0. A pair is looked at in every bucket
+    that its members share, if their components differ and their sketches agree in `least` coordinates."""
 
     def links_of(rows: dict) -> list[tuple[int, int]]:
         sk, comp, side, cid = rows["sk"], rows["comp"].copy(), rows["side"], rows["cid"]
@@ -174,7 +174,7 @@ def _blocks(least: int, percent: int):
         right = left if inner else right
         sets = [np.frombuffer(x, np.uint64) for x in rows["set"]]
         n = np.array([len(x) for x in sets])
-        band, found = int(rows["band"][0]), []
+        found = []
         for k in range(0, len(left), 32):
             x = left[k : k + 32]
             ok = comp[x][:, None] != comp[right][None, :]
@@ -186,7 +186,6 @@ def _blocks(least: int, percent: int):
             for m in range(0, len(p), 10_000):
                 same = sk[p[m : m + 10_000]] == sk[q[m : m + 10_000]]
                 near = same.sum(1) >= least
-                near &= same.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band
                 for u, v in zip(p[m : m + 10_000][near].tolist(), q[m : m + 10_000][near].tolist(), strict=True):
                     if comp[u] != comp[v] and similar(sets[u], sets[v], percent):
                         found.append((int(cid[u]), int(cid[v])))

@@ -520,6 +520,17 @@ def test_open_buckets_are_finished_exactly(spark, monkeypatch):
     assert multiset(minhash_dedup.near_duplicates(df, 92), "doc_id", "n_shingles", "component_id", "kept") == grouped_by_hand(rows, 92)
 
 
+def test_pairs_are_checked_in_any_band_they_share():
+    import pyarrow as pa
+
+    sketch, grams = np.zeros(minhash_dedup.COORDINATES, np.uint16).tobytes(), np.arange(50, dtype=np.uint64).tobytes()
+    longs = lambda *x: pa.array(x, pa.int64())
+    names = ["bk", "i", "j", "side", "cid", "comp", "band", "sk", "set"]
+    rows = pa.RecordBatch.from_arrays([longs(9, 9), longs(0, 0), longs(0, 0), longs(0, 0), longs(1, 2), longs(1, 2), longs(5, 5), pa.array([sketch] * 2), pa.array([grams] * 2)], names)
+    found = pa.Table.from_batches(list(minhash_dedup._blocks(100, 85)(iter([rows]))))
+    assert found.to_pylist() == [{"a": 1, "b": 2}]
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(1)
     for n in (1, 3, 40, 2000):
