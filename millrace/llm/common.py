@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +60,17 @@ def small_or_whole(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def slices(texts: pa.Array, size: int):
+    """(first row, values) of runs of an Arrow column's rows of about `size` bytes each; a longer value is one alone. Only
+    one run at a time exists as Python objects."""
+    ends = pc.cumulative_sum(pc.add(pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64()), 1)).to_numpy(zero_copy_only=False)
+    start, before = 0, 0
+    while start < len(ends):
+        end = max(start + 1, int(ends.searchsorted(before + size, side="right")))
+        yield start, texts.slice(start, end - start).to_pylist()
+        start, before = end, int(ends[end - 1])
+
+
 def is_empty(df: DataFrame) -> bool:
     return df.limit(1).count() == 0
 

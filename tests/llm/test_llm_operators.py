@@ -283,18 +283,32 @@ def test_distrust_does_not_shrink_with_the_number_of_linkers(spark, linkers):
 # --- 5
 
 
+def spans_by_hand(text):
+    """First word and words of every span: window by window, on the words themselves."""
+    import xxhash
+
+    size, span, words = 8, 43, text.lower().split()
+    order = [(w[-1] not in ".!?", xxhash.xxh3_64_intdigest(w) >> 1) for w in words]
+    starts = {0}
+    for a in range(len(words) - size + 1):
+        window = order[a : a + size]
+        starts.add(a + max(i for i in range(size) if window[i] == min(window)) + 1)
+    return {a: tuple(words[a : a + span]) for a in sorted(starts) if a + span <= len(words)}
+
+
 def cut_by_hand(rows):
-    spans = collections.defaultdict(list)
+    import re
+
+    places = collections.defaultdict(list)
     for i, text in {(r[0], r[1]) for r in rows if r[1]}:
-        for at, n, h in substring_dedup.spans(substring_dedup.sentences(text)):
-            spans[h].append(((i is not None, i or 0), text, at, n, i))
+        for at, words in spans_by_hand(text).items():
+            places[words].append(((i is not None, i or 0), at, i, text))
     drop = collections.defaultdict(set)
-    for places in spans.values():
-        first = min(places, key=lambda p: (p[0], p[2]))
-        for p in places:
-            if p is not first:
-                drop[p[4], p[1]].update(range(p[2], p[2] + p[3]))
-    return collections.Counter((r[0], None if r[1] is None else "".join(s for k, s in enumerate(substring_dedup.sentences(r[1])) if k not in drop[r[0], r[1]])) for r in rows)
+    for words, found in places.items():
+        for _, at, i, text in sorted(found)[1:]:
+            drop[i, text].update(range(at, at + len(words)))
+    kept = lambda i, t: None if t is None else "".join(x for k, x in enumerate(re.findall(r"^\s+|\S+\s*", t), -int(t[:1].isspace())) if k not in drop[i, t])
+    return collections.Counter((r[0], kept(r[0], r[1])) for r in rows)
 
 
 def test_substring_dedup(docs, empty):
@@ -303,42 +317,49 @@ def test_substring_dedup(docs, empty):
     report = substring_dedup.repeat_report(clashing(docs)).collect()
     assert collections.Counter((r["doc_id"], r["text"]) for r in report) == want
     by_id = {r["doc_id"]: r for r in report}
-    assert by_id[70]["n_removed"] < by_id[71]["n_removed"]  # the passage stays in its first document
-    assert all(by_id[i]["removed_words"] >= 60 for i in (71, 72, 73))
+    passage = corpus()[70][1].split("\n")[1]
+    assert passage in by_id[70]["text"] and passage.split()[30] not in by_id[71]["text"].split("\n")[-1].split()[:20]
+    assert all(by_id[i]["removed_words"] >= 70 - 15 for i in (71, 72, 73))  # the passage stays in its first document
+    assert all(r["changed"] == (r["n_removed"] > 0) == (r["removed_words"] > 0) for r in report)
     assert by_id[90]["n_removed"] == 0 and by_id[80]["text"] is None and by_id[81]["text"] == ""
     assert substring_dedup.remove_repeats(clashing(docs)).columns == clashing(docs).columns
+    assert substring_dedup.remove_repeats(clashing(docs)).where("gone = 'mine' and key = 'mine'").count() == len(corpus())
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
-def test_passages_without_full_stops_are_cut_alike():
-    rng = random.Random(1)
-    passage = " ".join(rng.choice(WORDS) + rng.choice(WORDS) for _ in range(80))
-    places = []
-    for _ in range(2):
-        before = " ".join(rng.choice(WORDS) + rng.choice(WORDS) for _ in range(37))
-        text = before + " " + passage + " " + before[::-1]
-        pieces = substring_dedup.sentences(text)
-        assert "".join(pieces) == text
-        places.append({h for _, _, h in substring_dedup.spans(pieces)})
-    assert places[0] & places[1]
-
-
 @pytest.mark.parametrize("stops", [True, False])
 def test_every_passage_of_51_words_is_found(stops):
     rng = random.Random(11)
     plain = lambda n: [rng.choice(WORDS) + rng.choice(WORDS) for _ in range(n)]
     words = lambda n: prose(rng, n + 14).split()[:n] if stops else plain(n)
-    bound = 5 * substring_dedup.PIECE - 4
     for trial in range(400):
-        passage = words(51)
-        texts = [gap.join(words(rng.randint(0, 30)) + passage + words(rng.randint(0, 30))) for gap in (" ", "\t" if trial % 2 else " ")]
-        pieces = [substring_dedup.sentences(t) for t in texts]
-        assert ["".join(x) for x in pieces] == texts
-        assert [[y.lower().split() for y in x] for x in pieces] == [substring_dedup._worded(t) for t in texts]
-        assert max(len(y.split()) for x in pieces for y in x) <= substring_dedup.PIECE
-        first = {h for _, _, h in substring_dedup.spans(pieces[0])}
-        gone = {k for at, n, h in substring_dedup.spans(pieces[1]) if h in first for k in range(at, at + n)}
-        assert sum(len(pieces[1][k].split()) for k in gone) >= max(substring_dedup.SPAN_WORDS, 51 - bound)
+        n = rng.choice([51, 51, 52, 60, 90])
+        passage = words(n)
+        texts = [gap.join(words(rng.randint(0, 30)) + passage + words(rng.randint(0, 30))) for gap in (" ", "\t\n" if trial % 2 else " ")]
+        first = {h for _, h in substring_dedup.spans(texts[0])}
+        gone = [a for a, h in substring_dedup.spans(texts[1]) if h in first]
+        cut, stretches, removed = substring_dedup.without(texts[1], gone)
+        assert stretches == 1 and removed >= n - 15 and len(cut.split()) == len(texts[1].split()) - removed
+
+
+def test_short_common_passages_stay():
+    rng = random.Random(12)
+    words = lambda n: prose(rng, n + 14).split()[:n]
+    for n in (16, 30, 42):
+        passage = words(n)
+        texts = [" ".join(words(60) + passage + words(60)) for _ in range(2)]
+        assert not {h for _, h in substring_dedup.spans(texts[0])} & {h for _, h in substring_dedup.spans(texts[1])}
+
+
+def test_slices_hold_every_row():
+    import pyarrow as pa
+
+    texts = [None, "", "a" * 50, "é" * 200, "b", None, "c" * 10, ""]
+    for size in (1, 20, 100, 10_000):
+        got = list(common.slices(pa.array(texts), size))
+        assert [x for _, xs in got for x in xs] == texts
+        assert [at for at, _ in got] == np.cumsum([0] + [len(xs) for _, xs in got])[:-1].tolist()
+    assert list(common.slices(pa.array([], pa.string()), 10)) == []
 
 
 # --- 7
