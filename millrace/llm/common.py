@@ -17,6 +17,10 @@ SPACE = r"[\x20\x09-\x0D]"
 #: Largest number of narrow rows (a few longs each) that a checked broadcast sends out.
 BROADCAST_ROWS = 400_000
 
+#: Bytes of a batch of rows that goes to Python.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: spark.checkpoint.dir where the cluster names it.
@@ -60,17 +64,33 @@ def small_or_whole(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
-def slices(texts: pa.Array, size: int):
-    """(first row, values) of runs of an Arrow column's rows of about `size` bytes each; a longer value is one alone. Only
-    one run at a time exists as Python objects."""
-    ends = pc.cumulative_sum(pc.add(pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64()), 1)).to_numpy(zero_copy_only=False)
+def pieces(column: pa.Array, size: int):
+    """(first row, rows) of runs of an Arrow column's rows of about `size` bytes each; a longer value is one alone."""
+    ends = pc.cumulative_sum(pc.add(pc.fill_null(pc.binary_length(column), 0).cast(pa.int64()), 1)).to_numpy(zero_copy_only=False)
     start, before = 0, 0
     while start < len(ends):
         end = max(start + 1, int(ends.searchsorted(before + size, side="right")))
-        yield start, texts.slice(start, end - start).to_pylist()
+        yield start, end - start
         start, before = end, int(ends[end - 1])
 
 
+def slices(texts: pa.Array, size: int):
+    """(first row, values) of the pieces of a column: only one at a time exists as Python objects."""
+    for start, n in pieces(texts, size):
+        yield start, texts.slice(start, n).to_pylist()
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the bytes of the batches that Python gets to BATCH_BYTES, unless the session has a setting of its own: many
+    rows of long texts at once are what fills an executor's memory."""
+    if spark.conf.get(_BATCH, None) in (None, _default_batch(spark)):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
+def _default_batch(spark: SparkSession) -> str:
+    return spark._jvm.org.apache.spark.sql.internal.SQLConf().getConfString(_BATCH)
+
+
 def is_empty(df: DataFrame) -> bool:
     return df.limit(1).count() == 0
 

@@ -9,7 +9,9 @@ independent minima would.
 Defined results: words are lower-cased in A-Z only; a text of fewer than five words is one shingle; null, empty and
 wordless texts have no shingles and link with nothing. Rows with equal shingle sets are one class and are sketched once in
 every later step. Each row is judged by itself: repeated rows get equal results. A null doc_id is never a smallest id; a
-group of such rows alone has a null component and keeps them. Set elements are 64-bit hashes of shingles.
+group of such rows alone has a null component and keeps them. Set elements are 64-bit hashes of shingles. Texts of any
+length are held one at a time with their shingles; columns other than doc_id and the text play no part. keep_first_of_groups
+leaves exactly one row of each group, also where doc_ids repeat or are null, and every row without words.
 """
 
 from __future__ import annotations
@@ -20,15 +22,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, is_empty, materialize, small_or_whole
+from .common import bound_batches, discard, is_empty, materialize, pieces, slices, small_or_whole
 from .components import connected_components
 
 SHINGLE = 5
 COORDINATES = 128
 ROWS = 4
 BANDS = COORDINATES // ROWS
-#: Members of a bucket that one block of the last round compares with another block.
+#: Members of a bucket that one block of the last round compares with another block, and about the most bytes of their sets.
 BLOCK = 512
+BLOCK_BYTES = 4 << 20
+#: Characters of texts that are worked on at once.
+CHARACTERS = 1_000_000
 #: Standard deviations below the threshold at which a pair's sketches rule it out.
 SIGMAS = 5.4
 
@@ -50,28 +55,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class _Hashes(dict):
-    """Word hashes, kept between batches up to a fixed number of words."""
-
-    LIMIT = 300_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_hashes = _Hashes()
-
-
 def shingles(text: str | None) -> np.ndarray:
     """The sorted distinct 64-bit shingles of a text. bytes.lower() and bytes.split() know ASCII only, as asked for."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, n)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
     if n < SHINGLE:
         acc = np.array([n], np.uint64)
         for x in h:
@@ -114,31 +104,34 @@ def _long(x: list, typ=pa.int64()) -> pa.Array:
 
 
 def _sketched(batches):
-    """(doc_id, text) to (doc_id, cid, cid2, n, bands, sk)."""
+    """(doc_id, key, text) to (doc_id, key, cid, cid2, n, bands, sk)."""
     for batch in batches:
-        cid, cid2, n, band, sk = [], [], [], [], []
-        for text in batch.column(1).to_pylist():
-            s = shingles(text)
-            n.append(len(s))
-            if not len(s):
-                cid.append(None), cid2.append(None), band.append(np.zeros(0, np.int64)), sk.append(b"")
-                continue
-            a, b = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), ">i8")
-            cid.append(int(a)), cid2.append(int(b))
-            k = sketch(s)
-            band.append(bands(k))
-            sk.append(mix(k).astype(np.uint16).tobytes())
-        at = np.cumsum([0] + [len(x) for x in band]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(band) if band else np.zeros(0, np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), _long(cid), _long(cid2), _long(n), lists, pa.array(sk, pa.binary())], ["doc_id", "cid", "cid2", "n", "bands", "sk"])
+        for start, texts in slices(batch.column(2), CHARACTERS):
+            cid, cid2, n, band, sk = [], [], [], [], []
+            for text in texts:
+                s = shingles(text)
+                n.append(len(s))
+                if not len(s):
+                    cid.append(None), cid2.append(None), band.append(np.zeros(0, np.int64)), sk.append(b"")
+                    continue
+                a, b = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), ">i8")
+                cid.append(int(a)), cid2.append(int(b))
+                k = sketch(s)
+                band.append(bands(k))
+                sk.append(mix(k).astype(np.uint16).tobytes())
+            at = np.cumsum([0] + [len(x) for x in band]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(band)))
+            own = [batch.column(k).slice(start, len(texts)) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*own, _long(cid), _long(cid2), _long(n), lists, pa.array(sk, pa.binary())], ["doc_id", "key", "cid", "cid2", "n", "bands", "sk"])
 
 
 def _sets(batches):
-    """(doc_id, text) to (cid, set)."""
+    """(text) to (cid, set)."""
     for batch in batches:
-        sets = [shingles(x) for x in batch.column(1).to_pylist()]
-        cid = [int(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), ">i8")[0]) if len(s) else None for s in sets]
-        yield pa.RecordBatch.from_arrays([_long(cid), pa.array([s.tobytes() for s in sets], pa.binary())], ["cid", "set"])
+        for _, texts in slices(batch.column(0), CHARACTERS):
+            sets = [shingles(x) for x in texts]
+            cid = [int(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), ">i8")[0]) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([_long(cid), pa.array([s.tobytes() for s in sets], pa.binary())], ["cid", "set"])
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -195,10 +188,8 @@ def _blocks(least: int, percent: int):
     def run(batches):
         names = ("bk", "i", "j", "side", "cid", "comp", "band")
         held = None
-        for batch in _then_none(batches):
+        for batch in _then_none(batch.slice(*piece) for batch in batches for piece in pieces(batch.column(8), BLOCK_BYTES)):
             if batch is not None:
-                if not batch.num_rows:
-                    continue
                 rows = {k: batch.column(x).to_numpy(zero_copy_only=False) for x, k in enumerate(names)}
                 rows["sk"] = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint16).reshape(-1, COORDINATES)
                 rows["set"] = np.array([*batch.column(8).to_pylist(), None], object)[:-1]
@@ -223,11 +214,9 @@ def _then_none(batches):
     yield None
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept.
-
-    Documents link when 100 * |A and B| >= percent * |A or B| on their full sets; percent is at least 80, for which 32
-    bands of 4 coordinates miss a linked pair with a chance below 1e-7.
+def grouped(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, key (a hash of doc_id and text), n_shingles, group (null without shingles),
+    component_id. near_duplicates has the rules.
 
     A bucket's rows are never paired with each other at large. First each is compared with the bucket's most connected
     class, which joins nearly every group. Only buckets that then still hold several components are compared in full,
@@ -235,8 +224,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
     are checked exactly there, and only links that join components come out; so no such link is lost to a cap."""
     if not 80 <= percent <= 100:
         raise ValueError("percent must be from 80 to 100")
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = materialize(texts.mapInArrow(_sketched, "doc_id long, cid long, cid2 long, n long, bands array<long>, sk binary"), "sketches")
+    bound_batches(docs.sparkSession)
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(doc_id).cast("long"), F.col(text)).alias("key"), F.col(text).alias("text"))
+    rows = materialize(texts.mapInArrow(_sketched, "doc_id long, key long, cid long, cid2 long, n long, bands array<long>, sk binary"), "sketches")
 
     classes = materialize(rows.where("n > 0").groupBy("cid", "cid2", "n").agg(F.min("doc_id").alias("rep")), "classes")
     firsts = rows.alias("r").join(classes.alias("c"), F.expr("r.cid = c.cid and r.cid2 = c.cid2 and r.doc_id <=> c.rep"))
@@ -246,7 +236,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
     members = materialize(buckets.join(shared, "bk"), "buckets")
 
     ids = materialize(members.select("cid").distinct().join(classes, "cid").select("rep").distinct(), "candidates")
-    sets = texts.join(small_or_whole(ids), texts["doc_id"].eqNullSafe(ids["rep"]), "left_semi")
+    sets = texts.join(small_or_whole(ids), texts["doc_id"].eqNullSafe(ids["rep"]), "left_semi").select("text")
     sets = materialize(sets.mapInArrow(_sets, "cid long, set binary").where("cid is not null"), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -266,8 +256,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
     open_ = at.groupBy("bk").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bk", "c")
     rest = materialize(at.join(open_, "bk"), "open")
     if not is_empty(rest):
-        info = rows.join(rest.select("cid").distinct(), "cid").select("cid", "sk").dropDuplicates(["cid"]).join(sets.dropDuplicates(["cid"]), "cid")
-        spread = rest.withColumn("nb", F.ceil(F.col("c") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("cid"), "nb").cast("int"))
+        info = rows.join(rest.select("cid").distinct(), "cid").select("cid", "sk", "n").dropDuplicates(["cid"])
+        load = rest.join(info, "cid").groupBy("bk").agg(F.sum(F.col("n") * 8).alias("bytes"))
+        info = info.drop("n").join(sets.dropDuplicates(["cid"]), "cid")
+        spread = rest.join(load, "bk").withColumn("nb", F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int"))
+        spread = spread.withColumn("own", F.pmod(F.xxhash64("cid"), "nb").cast("int"))
         spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).join(info, "cid")
         spread = spread.select("bk", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cid", "comp", "band", "sk", "set")
         spread = spread.repartition("bk", "i", "j").sortWithinPartitions("bk", "i", "j", "side")
@@ -276,21 +269,44 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
         more = materialize(spread.mapInArrow(_blocks(least, percent), "a long, b long").distinct(), "links")
         if not is_empty(more):
             comps = connected_components(links.unionAll(more))
-    discard(members, rest)
+    discard(members, rest, sets, ids)
 
     named = classes.join(comps.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "cid2", "rep", F.coalesce("component", "cid").alias("component"))
     least_id = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    verdict = materialize(named.join(least_id, "component").select("cid", "cid2", "component_id"), "verdicts")
-    out = rows.select("doc_id", "n", "cid", "cid2").join(verdict, ["cid", "cid2"], "left")
+    verdict = materialize(named.join(least_id, "component").select("cid", "cid2", "component", "component_id"), "verdicts")
+    out = rows.select("doc_id", "key", "n", "cid", "cid2").join(verdict, ["cid", "cid2"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "key", F.col("n").alias("n_shingles"), F.col("component").alias("group"), component.alias("component_id"))
 
 
-def keep_first_of_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """docs without the documents of a near-duplicate group other than its smallest doc_id; columns as they come.
+def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
-    A doc_id leaves when none of its rows is kept. Dropped ids go out as a broadcast if they are few, else in a join."""
-    verdict = near_duplicates(docs, percent)
-    gone = materialize(verdict.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select(F.col("doc_id").alias("gone")), "dropped")
-    rows = docs.select(F.struct("*").alias("row"))
-    return rows.join(small_or_whole(gone), F.col("row.doc_id").cast("long").eqNullSafe(F.col("gone")), "left_anti").select("row.*")
+    Documents link when 100 * |A and B| >= percent * |A or B| on their full sets; percent is at least 80, for which 32
+    bands of 4 coordinates miss a linked pair with a chance below 1e-7; where pairs join components, 16-bit sketches may
+    rule a pair out 5.4 standard deviations below the threshold, which is as rare."""
+    out = grouped(docs, percent, doc_id, text)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def keep_first_of_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """docs with one row of each near-duplicate group, of the smallest doc_id; columns as they come.
+
+    Rows that leave are named by doc_id and a hash of the text, in a broadcast if they are few, else in a join. Where
+    several rows of a group have its smallest doc_id (or all are null), one with the least hash stays, found by an
+    aggregation that combines map-side."""
+    verdict = materialize(grouped(docs, percent).where("n_shingles > 0"), "groups")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = verdict.where(~first).select("doc_id", "key").distinct()
+    several = verdict.where(first).groupBy("group").agg(F.count("*").alias("c")).where("c > 1").select("group")
+    several = materialize(verdict.where(first).join(several, "group").select("doc_id", "key", "group").distinct(), "several")
+    gone = materialize(gone.unionAll(several.select("doc_id", "key")).select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key")), "dropped")
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("key"))
+    same = (F.col("key") == F.col("gone_key")) & F.col("row.doc_id").cast("long").eqNullSafe(F.col("gone_id"))
+    out = rows.join(small_or_whole(gone), same, "left_anti").select("row")
+    if not is_empty(several):
+        of = several.select(F.col("doc_id").alias("of_id"), F.col("key").alias("of_key"), "group")
+        mine = (F.col("key") == F.col("of_key")) & F.col("row.doc_id").cast("long").eqNullSafe(F.col("of_id"))
+        one = rows.join(small_or_whole(of), mine).groupBy("group").agg(F.min_by("row", "key").alias("row"))
+        out = out.unionAll(one.select("row"))
+    return out.select("row.*")

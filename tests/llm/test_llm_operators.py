@@ -487,10 +487,31 @@ def test_mixed_documents(docs):
     df = clashing(docs)
     out = mixing.mixed_documents(df)
     assert out.columns == df.columns
-    want = {(r["doc_id"], r["size"]): (r["taken"] // r["size"] if r["size"] else 0) for r in mixing.mixture(docs).collect()}
-    n = collections.Counter((r["doc_id"], len((r["text"] or "").split())) for r in out.collect())
-    assert all(n[k] % v == 0 and n[k] > 0 for k, v in want.items() if v)
-    assert {k for k in n if k[1]} == {k for k, v in want.items() if v}
+    want = collections.Counter()
+    for r in mixing.mixture(docs).collect():
+        want[r["doc_id"], r["size"]] += r["taken"]
+    got = collections.Counter()
+    for r in out.collect():
+        n = len((r["text"] or "").split())
+        got[r["doc_id"], n] += n
+    assert +got == +want
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_repeated_rows_are_mixed_as_decided(spark, parts):
+    rows = [(7, "one two three four five", "en", "a", 0)] * 20 + [(None, "x y", "en", "b", 0)] * 33 + [(100 + i, "p q r", "en", "c", 0) for i in range(10)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(parts)
+    taken = collections.Counter()
+    for r in mixing.mixture(df).collect():
+        taken[r["doc_id"]] += r["taken"]
+    assert sorted({r["taken"] // r["size"] for r in mixing.mixture(df).where("doc_id = 7").collect()}) in ([0, 1], [1, 2], [2, 3])  # the remainder ends among equal rows
+    got = collections.Counter()
+    for r in mixing.mixed_documents(df).collect():
+        got[r["doc_id"]] += len(r["text"].split())
+    assert got == +taken and mixing.CHUNK > 33
+    mixing.CHUNK, was = 8, mixing.CHUNK
+    assert mixing.mixture(df).count() == len(rows) and sum(r["taken"] for r in mixing.mixture(df).collect()) == sum(taken.values())
+    mixing.CHUNK = was
 
 
 # --- 9
@@ -562,12 +583,36 @@ def test_sketch_estimates_similarity():
         assert (minhash_dedup.sketch(a) != minhash_dedup._EMPTY).all() and abs(got - true) < 0.2
 
 
-def test_first_of_groups_stay(docs):
-    df = clashing(docs)
+def kept_by_hand(rows, percent):
+    """One (doc_id, text) of each group: the smallest doc_id's; any of several equal ones."""
+    alone = [k for k, r in enumerate(rows) if not (r[1] or "").split()]
+    left, out = [k for k in range(len(rows)) if k not in alone], collections.Counter((rows[k][0], rows[k][1]) for k in alone)
+    while left:
+        group, todo = set(), [left[0]]
+        while todo:
+            k = todo.pop()
+            group.add(k)
+            for j in left:
+                if j not in group and j not in todo and len({c for _, _, c, _ in grouped_by_hand([(0, rows[k][1]), (1, rows[j][1])], percent)}) == 1:
+                    todo.append(j)
+        ids = [rows[k][0] for k in group if rows[k][0] is not None]
+        out[min(ids) if ids else None, "one"] += 1
+        left = [k for k in left if k not in group]
+    return out
+
+
+def test_first_of_groups_stay(spark):
+    rng = random.Random(7)
+    a, b, c = prose(rng, 80), prose(rng, 80), prose(rng, 60)
+    near = a.replace(a.split()[40], "other", 1)
+    rows = [(5, a), (5, a), (3, near), (3, a), (None, near), (None, b), (None, b), (None, c), (9, c + " more"), (9, c + " more"), (None, None), (1, " "), (1, " "), (20, prose(rng, 50))]
+    df = clashing(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)).withColumn("group", F.lit("mine")).repartition(3)
     out = minhash_dedup.keep_first_of_groups(df)
-    verdict = minhash_dedup.near_duplicates(docs, 80).collect()
-    kept = {r["doc_id"] for r in verdict if r["kept"]}
-    assert out.columns == df.columns and {r["doc_id"] for r in out.select("doc_id").collect()} == kept
+    assert out.columns == df.columns
+    texts = {t for _, t in rows}
+    got = out.collect()
+    assert all(r["text"] in texts and r["group"] == "mine" for r in got)
+    assert collections.Counter((r["doc_id"], r["text"] if not (r["text"] or "").split() else "one") for r in got) == kept_by_hand(rows, 80)
 
 
 def test_components(spark):
