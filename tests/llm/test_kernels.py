@@ -104,6 +104,33 @@ def test_sentencepiece_round_trip(text):
     assert m.processor.decode([int(i) for i in ids]) == text
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(st.sampled_from("abénthi東▁ ,9☃"), min_size=1, max_size=30), max_size=12))
+def test_segments_solved_together_equal_one_by_one(segments):
+    import struct
+
+    m = sentencepiece_nbest.load(public_tokenizers.path("piece_bpe_32k.model"))
+    for x, (packed, score, loss) in zip(segments, m.solve_all(segments), strict=True):
+        ids, best, least = m.solve(x)
+        assert score == pytest.approx(best) and loss == (pytest.approx(least) if np.isfinite(least) else np.inf)
+        assert packed == struct.pack(f"<{len(ids)}I", *ids)
+
+
+def test_long_unbroken_texts_take_linear_memory(model):
+    import random
+    import tracemalloc
+
+    rng = random.Random(1)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789") for _ in range(200_000))
+    tracemalloc.start()
+    segment = "▁" + text
+    got = model.nbest(segment, 4)
+    assert tracemalloc.get_traced_memory()[1] < 500e6
+    tracemalloc.stop()
+    assert got[0][1] == pytest.approx(model.solve(segment)[1]) and len({tuple(x) for x, _ in got}) == 4
+    assert [v for _, v in got] == sorted((v for _, v in got), reverse=True)
+
+
 def counts(texts):
     return token_counts.load(public_tokenizers.path("byte_bpe_50k.json")).counts(texts)
 
