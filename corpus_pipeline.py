@@ -1,7 +1,12 @@
 """Documents through five operators: quality rules, near-dedup, substring dedup, source mixing, SentencePiece encoding.
 
 Each stage takes all that its predecessor kept and its decisions take effect; its result is written as Parquet and read
-again as the next stage's input."""
+again as the next stage's input.
+
+Defined results: null and empty texts have too few words for the quality rules and leave there; very long texts go through
+whole. Of rows that share a doc_id (null ids too) quality judges each by itself, near-dedup leaves one row of each group,
+and the mix takes each of the rest as a document of its own. Empty tables give an empty result. Columns beside those of
+documents stay until the last stage, which has the ids in their place, whatever their names."""
 
 from __future__ import annotations
 
@@ -9,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import minhash_dedup, mixing, quality_rules, sentencepiece_nbest, substring_dedup
-from millrace.llm.common import materialize
+from millrace.llm.common import discard, materialize
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +57,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to the table documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
