@@ -17,9 +17,7 @@ SPACE = r"[\x20\x09-\x0D]"
 #: Largest number of narrow rows (a few longs each) that a checked broadcast sends out.
 BROADCAST_ROWS = 400_000
 
-#: Bytes of a batch of rows that goes to Python.
-BATCH_BYTES = 8 << 20
-_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.parquet.columnarReaderBatchSize": "512"}
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -81,14 +79,11 @@ def slices(texts: pa.Array, size: int):
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lowers the bytes of the batches that Python gets to BATCH_BYTES, unless the session has a setting of its own: many
-    rows of long texts at once are what fills an executor's memory."""
-    if spark.conf.get(_BATCH, None) in (None, _default_batch(spark)):
-        spark.conf.set(_BATCH, str(BATCH_BYTES))
-
-
-def _default_batch(spark: SparkSession) -> str:
-    return spark._jvm.org.apache.spark.sql.internal.SQLConf().getConfString(_BATCH)
+    """Lowers the rows that a Parquet scan holds at once and the bytes of the batches that Python gets, for tables of long
+    texts, unless the session has settings of its own: such batches are what fills an executor's memory."""
+    for key, value in _BATCHES.items():
+        if spark.conf.get(key, None) in (None, spark._jvm.org.apache.spark.sql.internal.SQLConf().getConfString(key)):
+            spark.conf.set(key, value)
 
 
 def is_empty(df: DataFrame) -> bool:

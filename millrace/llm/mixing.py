@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, is_empty, materialize, small_or_whole
+from .common import WORD, bound_batches, is_empty, materialize, small_or_whole
 
 MAX_EPOCHS = 3.0
 WEIGHTS = (1.0, 2.0, 3.0)
@@ -65,6 +65,7 @@ def hash_order(seed: int) -> Column:
 def decisions(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: float = MAX_EPOCHS, seed: int = 17) -> DataFrame:
     """(doc_id, source, size, n, source_size, target, whole, more) for each key of (doc_id, source, size): of its n rows the
     mix takes `more` whole + 1 times and the others whole times."""
+    bound_batches(sized.sparkSession)
     keys = materialize(sized.groupBy("source", "doc_id", "size").agg(F.count("*").alias("n")).withColumn("h", hash_order(seed)), "sizes")
     heavy = keys.select("source", (F.col("size") * F.col("n")).alias("size"))
     sources = materialize(water_fill(materialize(weighted_sources(heavy, weights), "sources"), max_epochs), "targets")

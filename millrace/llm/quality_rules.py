@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, materialize, small_or_whole
+from .common import SPACE, WORD, bound_batches, materialize, small_or_whole
 
 #: Measures, as SQL over the base counts, and the cutoffs each is tried at, strict to lenient.
 RULES: dict[str, tuple[str, tuple[float, ...]]] = {
@@ -135,6 +135,7 @@ def _measured(docs: DataFrame, text: str, stratum: str) -> DataFrame:
 
 
 def _judged(docs: DataFrame, labels: DataFrame, text: str, stratum: str) -> DataFrame:
+    bound_batches(docs.sparkSession)
     measured = materialize(_measured(docs, text, stratum), "measures")
     cuts = materialize(safe_cutoffs(measured, labels), "cutoffs").withColumnRenamed("stratum", "of")
     joined = measured.join(small_or_whole(cuts), F.col("stratum").eqNullSafe(F.col("of")), "left")
