@@ -173,11 +173,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     places = docs.mapInArrow(_places, "doc_id long, key long, at int, h1 long, h2 long")
     places = materialize(places.join(repeated.hint("merge"), "h1", "left_semi"), "spans")
     place = F.struct("doc_id", "key", "at")
-    firsts = places.groupBy("h1", "h2").agg(F.min(place).alias("first"))
+    firsts = materialize(places.groupBy("h1", "h2").agg(F.min(place).alias("first")), "firsts")  # so that the join can be split
     later = places.join(firsts.hint("merge"), ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
     gone = later.groupBy(F.col("key").alias("of_key"), F.col("doc_id").alias("of_doc")).agg(F.collect_set("at").alias("gone"))
     gone = materialize(gone, "repeats")
-    discard(places)
+    discard(places, firsts)
     return gone
 
 

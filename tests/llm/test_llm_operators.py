@@ -127,7 +127,7 @@ def test_embedding_dedup(spark, monkeypatch):
         comp = min(ids) if ids else None
         want[(rows[i][0], len(links[i]), comp, rows[i][0] == comp)] += 1
     assert multiset(embedding_dedup.embedding_links(df), "vec_id", "n_links", "component_id", "kept") == want
-    monkeypatch.setattr(embedding_dedup, "BLOCK", 7)  # components of several blocks
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 7)  # windows of several blocks
     monkeypatch.setattr(embedding_dedup, "WINDOW", 5)
     assert multiset(embedding_dedup.embedding_links(df), "vec_id", "n_links", "component_id", "kept") == want
     assert embedding_dedup.embedding_links(df.where("false")).count() == 0
@@ -157,6 +157,34 @@ def test_close_pairs_of_one_crowded_label_are_all_found(spark):
     assert {r["vec_id"]: r["component_id"] for r in got} == dict(enumerate(comp))
 
 
+@pytest.mark.parametrize("mutual", [0.7, 0.94])
+def test_passes_find_the_links_of_large_labels(spark, mutual):
+    """Recall of the passes against brute force, for labels spread out and concentrated, at 8 and at 300 partitions."""
+    rng = np.random.default_rng(3)
+    n, planted, dim = 30_000, 1_000, 64
+    x = rng.standard_normal((n, dim)) / math.sqrt(dim)
+    x = math.sqrt(mutual) * np.eye(dim)[0] + math.sqrt(1 - mutual) * x
+    for k, cosine in enumerate((0.981, 0.985, 0.99)):
+        a, b = slice(k * planted, (k + 1) * planted), slice(n - (k + 1) * planted, n - k * planted)
+        x[b] = x[a] + math.sqrt(2 - 2 * cosine) / math.sqrt(dim) * rng.standard_normal((planted, dim))
+    x = x[rng.permutation(n)]
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    want = np.concatenate([(u[s : s + 2000] @ u.T >= 0.98).sum(1) - 1 for s in range(0, n, 2000)])
+    got = []
+    for parts in (8, 300):
+        out = embedding_dedup.embedding_links(df.repartition(parts)).collect()
+        got.append(dict((r["vec_id"], r["n_links"]) for r in out))
+    assert got[0] == got[1]
+    found = np.array([got[0][i] for i in range(n)])
+    assert (found <= want).all() and want.sum() >= 2 * 2.5 * planted and found.sum() >= 0.995 * want.sum()
+    read = df.select("vec_id", "label", "embedding").mapInArrow(embedding_dedup._read, "vec_id long, label int, dim int, v binary")
+    codes = embedding_dedup.coded(read.select(F.lit(1).cast("long").alias("grp"), "dim", "v", F.col("vec_id").alias("cid")))
+    passes = codes.select(F.max(F.size("codes"))).first()[0]
+    print(f"mutual cosine {mutual}: {passes} passes, {found.sum()} of {want.sum()} links")
+    assert passes > 1 or mutual >= 0.9  # the most concentrated are compared completely
+
+
 def test_blocks_are_joined_over_windows(monkeypatch):
     monkeypatch.setattr(embedding_dedup, "WINDOW", 3)
     rng = np.random.default_rng(4)
