@@ -95,11 +95,11 @@ def partitions_for(spark: SparkSession, rows: int, each: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
 
 
-def prefix_sums(parts: DataFrame, key: str, values: list[str]) -> DataFrame:
+def prefix_sums(parts: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Adds `<value>_before`, the sum over smaller keys, for a table with one row per range partition or bucket.
 
     Such a table has as many rows as there are partitions, so one task may order it."""
     from pyspark.sql import Window
 
-    w = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     return parts.select("*", *(F.coalesce(F.sum(v).over(w), F.lit(0)).alias(f"{v}_before") for v in values))

@@ -7,7 +7,8 @@ mergeable pair leave with their length, the number of surviving symbols. As merg
 places of a rank at once equals the one-by-one rule.
 
 Defined results: null and empty texts have 0 tokens; an added special token in a text counts as one, as the tokenizers
-library does by default. Repeated rows are counted alike.
+library does by default. Repeated rows are counted alike; long texts are counted whole, one at a time; columns other than
+doc_id and the text play no part.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import bound_batches, slices
+
 #: Splits text before the merges; a fixed value of this vocabulary family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LIMIT = 1024
@@ -158,28 +161,14 @@ def load(path: str) -> Merges:
     return Merges(path)
 
 
-def in_slices(texts: list[str | None], characters: int):
-    """(from, to) of runs of texts of about so many characters."""
-    start = size = 0
-    for i, x in enumerate(texts):
-        size += len(x or "") + 1
-        if size >= characters:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def _counter(path: str, limit: int):
     def run(batches):
         merges = load(path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            n = np.zeros(len(texts), np.int64)
-            for a, b in in_slices(texts, CHARACTERS):
-                n[a:b] = merges.counts([x or "" for x in texts[a:b]])
-            n_bytes = pa.array([len(x.encode("utf-8", "surrogatepass")) if x else 0 for x in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), n_bytes, pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            for start, texts in slices(batch.column(1), CHARACTERS):
+                n = np.array(merges.counts([x or "" for x in texts]), np.int64)
+                n_bytes = pa.array([len(x.encode("utf-8", "surrogatepass")) if x else 0 for x in texts], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), n_bytes, pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return run
 
@@ -187,6 +176,7 @@ def _counter(path: str, limit: int):
 def token_counts(docs: DataFrame, vocabulary_path: str, limit: int = LIMIT, text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens, over_limit. A map over the rows: no shuffle. vocabulary_path must
     be readable on every executor."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id"), F.col(text).alias("text"))
     schema = T.StructType().add("doc_id", rows.schema["doc_id"].dataType).add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
     return rows.mapInArrow(_counter(vocabulary_path, limit), schema)

@@ -1,7 +1,9 @@
 """Token ids in binary shards of patched frame-of-reference blocks.
 
-Documents are encoded, dealt to shards by doc_id range and written in ascending doc_id order. A shard holds its ids in
-blocks of 512. Of each block the least id is subtracted and the differences are packed at the width that 95 % of them need;
+Documents are encoded, dealt to parts by ranges of their order (doc_id, then a hash of the text, then their place in the
+input) and written in that order, a part in one task that closes a shard whenever it holds SHARD_TOKENS ids. So a task holds
+one shard at a time, however long the texts and however many rows share a doc_id, which ranges can split. A shard holds its
+ids in blocks of 512. Of each block the least id is subtracted and the differences are packed at the width that 95 % of them need;
 the high bits of the wider ones go to an exception list with their places. An index holds each block's start, minimum, width
 and first exception, so any block can be read alone.
 
@@ -10,12 +12,14 @@ doc_id i64, null-id flags u8, lengths u32 (per document); start u64 (in words),
 (per block); the packed words u64; exception places u16 and high bits u32.
 
 Defined results: null and empty texts have only the end id; null doc_ids come first; rows that share a doc_id follow each
-other, in the order of their ids' bytes. A shard is written under a name of its own and moved to its final name, so that a
-task that is run again replaces it by the same bytes.
+other, in the order of a hash of their texts, equal rows in any order. A text of any length is in one shard. Columns other
+than doc_id and the text play no part. An empty table gives no shards. A shard is written under a name of its own and moved
+to its final name, so that a task that is run again replaces it by the same bytes.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import uuid
 import zlib
@@ -25,17 +29,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions_for, prefix_sums, scratch_path
-from .token_counts import byte_letters, in_slices
+from .common import bound_batches, materialize, partitions_for, prefix_sums, scratch_path, slices, small_or_whole
+from .token_counts import byte_letters
 
 BLOCK = 512
 PERCENTILE = 95
-#: Documents of a shard, if their texts are of usual length.
-SHARD_DOCUMENTS = 20_000
-#: Words that a worker keeps.
-KEPT = 300_000
-CHARACTERS = 2_000_000
+#: Documents of a part on average, and ids at which a shard is closed.
+PART_DOCUMENTS = 20_000
+SHARD_TOKENS = 4_000_000
+#: Words that a worker keeps, and bytes of texts that are worked on at once.
+KEPT = 200_000
+CHARACTERS = 1_000_000
 _MAGIC = b"MRPFOR01"
+#: Stands for a null doc_id in the order.
+_NULL = -(2**63)
 
 
 # --- the format
@@ -215,17 +222,27 @@ def load(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _encoder(path: str, end_id: int, bounds: list[int]):
+def parts_of(ids: np.ndarray, h: np.ndarray, uid: np.ndarray, bounds: list[tuple[int, int, int]]) -> np.ndarray:
+    """The number of bounds at or below each row's (id, h, uid)."""
+    first = np.array([b[0] for b in bounds], np.int64)
+    low, high = (np.searchsorted(first, ids, side=side) for side in ("left", "right"))
+    for i in np.flatnonzero(low != high):
+        low[i] = bisect.bisect_right(bounds, (int(ids[i]), int(h[i]), int(uid[i])), int(low[i]), int(high[i]))
+    return low.astype(np.int32)
+
+
+def _encoder(path: str, end_id: int, bounds: list[tuple[int, int, int]]):
+    """(doc_id, h, uid, text) to (part, doc_id, h, uid, ids)."""
+
     def run(batches):
         encoder = load(path)
-        edges = np.array(bounds, np.int64)
         for batch in batches:
-            ids = batch.column(0).fill_null(-(2**63)).to_numpy(zero_copy_only=False)
-            shard = np.searchsorted(edges, ids, side="right").astype(np.int32)
-            texts = batch.column(1).to_pylist()
-            for a, b in in_slices(texts, CHARACTERS):
-                got = encoder.encode(texts[a:b], end_id)
-                yield pa.RecordBatch.from_arrays([pa.array(shard[a:b]), batch.column(0).slice(a, b - a), pa.array(got, pa.binary())], ["shard", "doc_id", "ids"])
+            ids = batch.column(0).fill_null(_NULL).to_numpy(zero_copy_only=False)
+            part = parts_of(ids, batch.column(1).to_numpy(), batch.column(2).to_numpy(), bounds)
+            for a, texts in slices(batch.column(3), CHARACTERS):
+                got = encoder.encode(texts, end_id)
+                columns = [pa.array(part[a : a + len(got)]), *(batch.column(k).slice(a, len(got)) for k in range(3)), pa.array(got, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "doc_id", "h", "uid", "ids"])
 
     return run
 
@@ -247,46 +264,47 @@ def put(uri: str, name: str, content: bytes) -> None:
 
 def _writer(uri: str, kind: str):
     def run(batches):
-        """Rows sorted by shard and doc_id; a shard is held in memory until it is whole."""
-        held, now = ([], []), None
+        """Rows sorted by part and order to (part, shard, n_ids); one shard is held in memory at a time."""
+        docs, ids, held, part, shard = [], [], 0, None, 0
 
         def done():
-            ids = np.frombuffer(b"".join(held[1]), kind)
-            length = np.array([len(x) for x in held[1]], np.int64) // np.dtype(kind).itemsize
-            put(uri, f"shard-{now:06d}.pfor", write_shard(held[0], length, ids))
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([len(ids)], pa.int64())], ["shard", "n_ids"])
+            flat = np.frombuffer(b"".join(ids), kind)
+            length = np.array([len(x) for x in ids], np.int64) // np.dtype(kind).itemsize
+            put(uri, f"shard-{part:07d}-{shard:06d}.pfor", write_shard(docs, length, flat))
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([len(flat)], pa.int64())], ["part", "shard", "n_ids"])
 
         for batch in batches:
-            shard = batch.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if a == b:
-                    continue
-                if now is not None and shard[a] != now:
-                    yield done()
-                    held = ([], [])
-                now = int(shard[a])
-                held[0].extend(batch.column(1).slice(a, b - a).to_pylist())
-                held[1].extend(batch.column(2).slice(a, b - a).to_pylist())
-        if now is not None:
+            for start, some in slices(batch.column(2), 2 * CHARACTERS):
+                parts, own = (batch.column(k).slice(start, len(some)).to_pylist() for k in (0, 1))
+                for p, i, x in zip(parts, own, some, strict=True):
+                    if docs and (p != part or held >= SHARD_TOKENS):
+                        yield done()
+                        docs, ids, held, shard = [], [], 0, shard + 1 if p == part else 0
+                    part = p
+                    docs.append(i), ids.append(x)
+                    held += len(x) // np.dtype(kind).itemsize
+        if docs:
             yield done()
 
     return run
 
 
 def write_token_ids(docs: DataFrame, vocabulary_path: str, uri: str, end_id: int = 1, text: str = "text") -> DataFrame:
-    """Writes the shards below uri and returns a table of them: shard, n_ids, n_ids_before. Documents are encoded once;
-    only their ids are shuffled. Shard bounds are quantiles of doc_id; they and the table grow with the shards alone."""
+    """Writes the shards below uri and returns a table of them: part, shard, n_ids, n_ids_before. Documents are encoded
+    once; only their ids are shuffled. The ranges of the parts come from a range partitioning of the narrow keys; one bound
+    for some PART_DOCUMENTS documents goes to the tasks."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    n = partitions_for(spark, rows.count(), SHARD_DOCUMENTS)
-    cuts = rows.select("doc_id").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else []
-    bounds = sorted({int(x) for x in cuts})
-    encoded = rows.mapInArrow(_encoder(vocabulary_path, end_id, bounds), "shard int, doc_id long, ids binary")
-    dealt = encoded.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
+    bound_batches(spark)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("h"), F.monotonically_increasing_id().alias("uid"), F.col(text).alias("text"))
+    n = partitions_for(spark, docs.count(), PART_DOCUMENTS)
+    keys = rows.select(F.coalesce("doc_id", F.lit(_NULL)).alias("doc_id"), "h", "uid").repartitionByRange(n, "doc_id", "h", "uid")
+    first = keys.groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("doc_id", "h", "uid")).alias("first"))
+    bounds = sorted((r[0], r[1], r[2]) for r in first.select("first.*").collect())[1:]
+    encoded = rows.mapInArrow(_encoder(vocabulary_path, end_id, bounds), "part int, doc_id long, h long, uid long, ids binary")
+    dealt = encoded.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "h", "uid")
     kind = load(vocabulary_path).kind.str
-    written = materialize(dealt.mapInArrow(_writer(uri, kind), "shard int, n_ids long"), "shards")
-    return prefix_sums(written, "shard", ["n_ids"])
+    written = dealt.select("part", "doc_id", "ids").mapInArrow(_writer(uri, kind), "part int, shard int, n_ids long")
+    return prefix_sums(materialize(written, "shards"), ["part", "shard"], ["n_ids"])
 
 
 def _reader(batches):
@@ -297,10 +315,10 @@ def _reader(batches):
             ends = np.cumsum(shard.lengths, dtype=np.int64)
             starts = ends - shard.lengths
             crc = [zlib.crc32(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-            number = int(name.rsplit("shard-", 1)[1].split(".")[0])
+            part, number = map(int, name.rsplit("shard-", 1)[1].split(".")[0].split("-"))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(crc), number, np.int32)), pa.array(shard.doc_ids, mask=shard.null.astype(bool)), pa.array(starts), pa.array(shard.lengths.astype(np.int64)), pa.array(crc, pa.int64())],
-                ["shard", "doc_id", "start", "n_tokens", "ids_crc32"],
+                [pa.array(np.full(len(crc), part, np.int32)), pa.array(np.full(len(crc), number, np.int32)), pa.array(shard.doc_ids, mask=shard.null.astype(bool)), pa.array(starts), pa.array(shard.lengths.astype(np.int64)), pa.array(crc, pa.int64())],
+                ["part", "shard", "doc_id", "start", "n_tokens", "ids_crc32"],
             )
 
 
@@ -308,9 +326,9 @@ def read_token_ids(spark: SparkSession, uri: str, shards: DataFrame) -> DataFram
     """One row per document from the shards below uri: doc_id, start (ids of all documents before it), n_tokens, and
     ids_crc32, the crc32 of its ids as little-endian unsigned 32-bit integers."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pfor").load(uri).select("path", "content")
-    docs = files.mapInArrow(_reader, "shard int, doc_id long, start long, n_tokens long, ids_crc32 long")
-    before = F.broadcast(shards.select("shard", "n_ids_before"))  # one row per shard, some 20,000 documents each
-    return docs.join(before, "shard").select("doc_id", (F.col("start") + F.col("n_ids_before")).alias("start"), "n_tokens", "ids_crc32")
+    docs = files.mapInArrow(_reader, "part int, shard int, doc_id long, start long, n_tokens long, ids_crc32 long")
+    before = small_or_whole(shards.select("part", "shard", "n_ids_before"))  # one row per shard
+    return docs.join(before, ["part", "shard"]).select("doc_id", (F.col("start") + F.col("n_ids_before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_id_round_trip(docs: DataFrame, vocabulary_path: str, end_id: int = 1) -> DataFrame:

@@ -221,11 +221,44 @@ def test_token_output(docs, empty, monkeypatch):
         want[(i, at, len(ids), zlib.crc32(ids.tobytes()))] += 1
         at += len(ids)
     assert multiset(token_output.token_id_round_trip(docs, path), "doc_id", "start", "n_tokens", "ids_crc32") == want
-    monkeypatch.setattr(token_output, "SHARD_DOCUMENTS", 9)
+    monkeypatch.setattr(token_output, "PART_DOCUMENTS", 9)
+    monkeypatch.setattr(token_output, "SHARD_TOKENS", 500)
     assert multiset(token_output.token_id_round_trip(clashing(docs), path), "doc_id", "start", "n_tokens", "ids_crc32") == want
     assert token_output.token_id_round_trip(empty, path).count() == 0
 
 
+def test_shards_of_one_doc_id_and_of_long_texts(spark, monkeypatch, tmp_path):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rng = random.Random(8)
+    rows = [(7, prose(rng, 6)) for _ in range(60)] + [(7, "the same words")] * 20_000 + [(None, "x"), (8, "abc " * 250_000), (9, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    monkeypatch.setattr(token_output, "PART_DOCUMENTS", 2_000)
+    monkeypatch.setattr(token_output, "SHARD_TOKENS", 3_000)
+    uri = f"file://{tmp_path}/ids"
+    shards = token_output.write_token_ids(df, path, uri)
+    sizes = [r["n_ids"] for r in shards.collect()]
+    parts = collections.Counter(r["part"] for r in shards.collect())
+    assert len(parts) > 6 and len(sizes) > 25 and sorted(sizes)[-2] < 3_000 + 200  # all but the long text's
+    got = token_output.read_token_ids(spark, uri, shards).collect()
+    assert collections.Counter(r["doc_id"] for r in got) == collections.Counter(i for i, _ in rows)
+    at = 0
+    for r in sorted(got, key=lambda r: r["start"]):
+        assert r["start"] == at
+        at += r["n_tokens"]
+    order = [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])]
+    assert order == sorted(order, key=lambda x: -1 if x is None else x) and at == sum(sizes)
+
+
+def test_parts_follow_the_order_of_keys():
+    import bisect
+
+    rng = random.Random(5)
+    keys = sorted((rng.randint(0, 4), rng.randint(-2, 2), rng.randint(0, 9)) for _ in range(300))
+    bounds = sorted(rng.sample(keys, 12))
+    got = token_output.parts_of(*(np.array(x, np.int64) for x in zip(*keys, strict=True)), bounds)
+    assert got.tolist() == [bisect.bisect_right(bounds, k) for k in keys]
+
+
 # --- 4
 
 
