@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .core import let, long_sum
+from .core import long_sum
 
 
 def text_id(*parts: Column, length: int = 16) -> Column:
@@ -54,23 +54,23 @@ def _array(values: list[int]) -> Column:
     return F.from_json(F.lit(str(values)), "array<bigint>")  # one foldable literal rather than hundreds
 
 
-def _xor(array: Column) -> Column:
-    return F.aggregate(array, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
+@functools.cache
+def point_keys() -> list[int]:
+    """For each point and number of checkers from -15 to 15 what it adds to a hash: the keys of its levels and its count."""
+    k, out = zobrist_keys(), []
+    for i in range(24):
+        for n in range(-15, 16):
+            key = k["count"][i][abs(n)]
+            for level in range(min(4, abs(n))):
+                key ^= k["x" if n > 0 else "o"][level][i]
+            out.append(key)
+    return out
 
 
 def board_hash(board: Column, bar_x: Column, bar_o: Column, off_x: Column, off_o: Column) -> Column:
-    """Zobrist hash of the signed board alone: who stands where, in four levels, and how many."""
-    k = zobrist_keys()
-    parts = []
-
-    def beyond(side: int, level: int):
-        return lambda x, key: F.when(x * side > level, key).otherwise(F.lit(0).cast("long"))
-
-    for side, name in ((1, "x"), (-1, "o")):
-        for level in range(4):
-            parts.append(_xor(F.zip_with(board, _array(k[name][level]), beyond(side, level))))
-    counts = _array([x for row in k["count"] for x in row])
-    parts.append(let(counts, lambda c: _xor(F.transform(board, lambda x, i: c[i * 16 + F.least(F.abs(x), F.lit(15)).cast("int")]))))
+    """Zobrist hash of the signed board alone: who stands where, in four levels, and how many. One look-up for each point."""
+    k, table = zobrist_keys(), _array(point_keys())
+    parts = [table[F.greatest(F.least(board[i].cast("int"), F.lit(15)), F.lit(-15)) + (31 * i + 15)] for i in range(24)]
     parts += [_array(k[n])[c.cast("int")] for n, c in (("bar_x", bar_x), ("bar_o", bar_o), ("off_x", off_x), ("off_o", off_o))]
     return functools.reduce(lambda a, b: a.bitwiseXOR(b), parts)
 

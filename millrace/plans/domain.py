@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import board, hashing, score
 from ..functions.core import let
 from ..operators import barycentric, graph, themes, windows
+from ..sources.readers import spread
 from .catalog import query, table
 from .relational import r6
 
@@ -17,13 +18,8 @@ from .relational import r6
 def _slots(first, second, third, times: tuple[int, int, int, int]) -> Column:
     """26 slots of 0..3."""
     a, b, c, e = times
-
-    def slot(i: Column) -> Column:
-        i = i.cast("long")
-        v = F.pmod(first * (i * i * a + b) + second * (i + c) + third * e, F.lit(11))
-        return F.when(v <= 3, v).otherwise(0).cast("int")
-
-    return F.transform(F.sequence(F.lit(0), F.lit(25)), slot)
+    values = (F.pmod(first * (i * i * a + b) + second * (i + c) + third * e, F.lit(11)) for i in range(26))
+    return F.array(*(F.when(v <= 3, v).otherwise(0).cast("int") for v in values))
 
 
 def _slots_sql(first: str, second: str, third: str, times: tuple[int, int, int, int]) -> str:
@@ -36,7 +32,7 @@ ONE, TWO = (1, 7, 3, 0), (0, 3, 5, 1)
 
 
 def positions(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem")
+    li = spread(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_discount", "l_returnflag"))
     k, p, s = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
     return li.select(
         k.alias("game_id"), F.col("l_linenumber").alias("move_number"), p.alias("part"), s.alias("supp"), "l_discount", "l_returnflag",
@@ -294,27 +290,14 @@ def trajectories_through(spark: SparkSession, d: str) -> DataFrame:
     return graph.through(s, "purchase").select("user_id", F.size("sequence").cast("long").alias("n"), "at")
 
 
-_SUB = f"(SELECT from_node, to_node, count(*) AS n FROM {_WALK} WHERE from_node % 10 = to_node % 10 GROUP BY 1, 2)"
-
-
-def tenths(spark: SparkSession, d: str) -> DataFrame:
-    return walk(spark, d).where("from_node % 10 = to_node % 10").groupBy("from_node", "to_node").agg(F.count("*").alias("n"))
-
-
 def steps(spark: SparkSession, d: str) -> DataFrame:
     """All edges of the walks."""
     return walk(spark, d).groupBy("from_node", "to_node").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT from_node AS a, to_node AS b FROM {_SUB} UNION SELECT to_node, from_node FROM {_SUB}),
+@query(f"""WITH RECURSIVE e AS (SELECT from_node AS a, to_node AS b FROM {_WALK} UNION SELECT to_node, from_node FROM {_WALK}),
 r(a, b) AS (SELECT a, a FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a AS node, min(b) AS component FROM r GROUP BY 1""")
 def weak_components(spark: SparkSession, d: str) -> DataFrame:
-    return graph.weak_components(tenths(spark, d))
-
-
-@query(None)
-def weak_components_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Over all edges; checked against brute force in the tests."""
     return graph.weak_components(steps(spark, d))
 
 

@@ -481,18 +481,6 @@ def hash_sample(spark: SparkSession, d: str) -> DataFrame:
     return sampling.uniform(table(spark, d, "part"), "p_partkey", 100).select("p_partkey", "p_brand")
 
 
-_CELL = """(SELECT l_returnflag, l_linestatus, l_orderkey * 1000 + l_partkey % 1000 AS id, min(l_discount) AS x, min(l_tax) AS y FROM lineitem WHERE l_orderkey % 7 = 0 GROUP BY 1, 2, 3)"""
-
-
-@query(f"""WITH r AS (SELECT *, unnest(range(0, 8)) AS draw FROM {_CELL}),
-s AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag, l_linestatus, draw ORDER BY sha256('42|' || draw || '|' || id), id) AS k FROM r),
-m AS (SELECT l_returnflag, l_linestatus, draw, avg(x) AS mx, covar_samp(x, y) AS c FROM s WHERE k <= 50 GROUP BY 1, 2, 3)
-SELECT l_returnflag, l_linestatus, count(*) AS draws, round(avg(mx), 6) AS mean_x, round(stddev_samp(mx), 6) AS std_x, round(quantile_cont(mx, 0.05), 6) AS p05_x,
-round(quantile_cont(mx, 0.95), 6) AS p95_x, round(avg(c), 8) AS covariance FROM m GROUP BY 1, 2""")
-def bootstrap_cells(spark: SparkSession, d: str) -> DataFrame:
-    return _bootstrap(table(spark, d, "lineitem").where("l_orderkey % 7 = 0"))
-
-
 _CELLS = """(SELECT l_returnflag, l_linestatus, l_orderkey * 1000 + l_partkey % 1000 AS id, min(l_discount) AS x, min(l_tax) AS y FROM lineitem GROUP BY 1, 2, 3)"""
 
 
@@ -501,12 +489,8 @@ s AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag, l_linestatus, draw
 m AS (SELECT l_returnflag, l_linestatus, draw, avg(x) AS mx, covar_samp(x, y) AS c FROM s WHERE k <= 50 GROUP BY 1, 2, 3)
 SELECT l_returnflag, l_linestatus, count(*) AS draws, round(avg(mx), 6) AS mean_x, round(stddev_samp(mx), 6) AS std_x, round(quantile_cont(mx, 0.05), 6) AS p05_x,
 round(quantile_cont(mx, 0.95), 6) AS p95_x, round(avg(c), 8) AS covariance FROM m GROUP BY 1, 2""")
-def bootstrap_cells_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _bootstrap(table(spark, d, "lineitem"))
-
-
-def _bootstrap(lines: DataFrame) -> DataFrame:
-    li = lines.withColumn("id", F.expr("l_orderkey * 1000 + l_partkey % 1000"))
+def bootstrap_cells(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem").withColumn("id", F.expr("l_orderkey * 1000 + l_partkey % 1000"))
     rows = li.groupBy("l_returnflag", "l_linestatus", "id").agg(F.min("l_discount").alias("x"), F.min("l_tax").alias("y"))
     out = sampling.bootstrap_cells(rows, ["l_returnflag", "l_linestatus"], "id", "x", "y", 8, 50)
     return out.select("l_returnflag", "l_linestatus", "draws", *(r6(c).alias(c) for c in ("mean_x", "std_x", "p05_x", "p95_x")), F.round("covariance", 8).alias("covariance"))
@@ -518,15 +502,8 @@ def union_sides(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"), F.lit("supplier").alias("side")))
 
 
-@query("SELECT event_type AS a, NULL::DOUBLE AS b, user_id AS c FROM events WHERE event_id % 5 = 0 UNION ALL SELECT event_type, value, NULL FROM events WHERE event_id % 5 = 1")
-def diagonal_concat(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events")
-    x = e.where("event_id % 5 = 0").select(F.col("event_type").alias("a"), F.col("user_id").alias("c"))
-    return setops.concat(x, e.where("event_id % 5 = 1").select(F.col("event_type").alias("a"), F.col("value").alias("b")))
-
-
 @query("SELECT event_type AS a, NULL::DOUBLE AS b, user_id::DOUBLE AS c FROM events WHERE event_type IN ('click', 'view') UNION ALL SELECT event_type, value, NULL FROM events WHERE event_type NOT IN ('click', 'view')")
-def diagonal_concat_whole(spark: SparkSession, d: str) -> DataFrame:
+def diagonal_concat(spark: SparkSession, d: str) -> DataFrame:
     """Each event on one of the two sides, by its type."""
     e = table(spark, d, "events")
     seen = F.col("event_type").isin("click", "view")

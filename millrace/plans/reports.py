@@ -107,20 +107,10 @@ def cell_scatter(spark: SparkSession, d: str) -> DataFrame:
     return sampling.per_group(rows, ["l_returnflag", "l_linestatus"], "id", 500)
 
 
-@query("""SELECT o_orderkey, first_part, n, path FROM (SELECT l_orderkey AS o_orderkey, arg_min(l_partkey, l_partkey) AS first_part, count(*) AS n, string_agg(l_partkey::VARCHAR, '>' ORDER BY l_partkey) AS path FROM lineitem GROUP BY 1) WHERE o_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey < 50)""")
-def match_timeline(spark: SparkSession, d: str) -> DataFrame:
-    """Moves of chosen players' games in order, with the first and their number."""
-    return _timelines(spark, d, table(spark, d, "orders").where("o_custkey < 50"))
-
-
 @query("""SELECT o_orderkey, first_part, n, path FROM (SELECT l_orderkey AS o_orderkey, arg_min(l_partkey, l_partkey) AS first_part, count(*) AS n, string_agg(l_partkey::VARCHAR, '>' ORDER BY l_partkey) AS path FROM lineitem GROUP BY 1) WHERE o_orderkey IN (SELECT o_orderkey FROM orders)""")
-def match_timeline_whole(spark: SparkSession, d: str) -> DataFrame:
-    """The same of all games."""
-    return _timelines(spark, d, table(spark, d, "orders"))
-
-
-def _timelines(spark: SparkSession, d: str, games: DataFrame) -> DataFrame:
-    mine = games.select(F.col("o_orderkey").alias("l_orderkey"))
+def match_timeline(spark: SparkSession, d: str) -> DataFrame:
+    """Moves of all games in order, with the first and their number."""
+    mine = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
     li = joins.having(table(spark, d, "lineitem"), mine, "l_orderkey")
     seq = windows.ordered_lists(li, ["l_orderkey"], ["l_partkey"], "l_partkey", "s")
     return seq.select(F.col("l_orderkey").alias("o_orderkey"), F.col("s")[0].alias("first_part"), F.size("s").cast("long").alias("n"), F.array_join(F.transform("s", lambda x: x.cast("string")), ">").alias("path"))

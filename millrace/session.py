@@ -1,4 +1,4 @@
-"""Session settings that the library assumes: UTC, adaptive execution, Arrow."""
+"""Session settings that the library assumes: UTC, adaptive execution, Arrow, generated methods that the JVM compiles."""
 
 from __future__ import annotations
 
@@ -16,6 +16,7 @@ def session(master: str | None = None, app: str = "millrace", **conf: str) -> Sp
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.showConsoleProgress": "false",
+        "spark.sql.codegen.hugeMethodLimit": "8000",  # longer methods would be interpreted; without them Spark splits
     }
     for k, v in (settings | conf).items():
         builder = builder.config(k, v)

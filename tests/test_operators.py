@@ -152,7 +152,7 @@ def test_graph_queries_cover_all_edges(spark):
     while any(least[a] != least[b] for a, b in pairs):
         for a, b in pairs:
             least[a] = least[b] = min(least[a], least[b])
-    assert {r["node"]: r["component"] for r in domain.weak_components_whole(spark, d).collect()} == least
+    assert {r["node"]: r["component"] for r in domain.weak_components(spark, d).collect()} == least
     assert {r["node"] for r in domain.communities(spark, d).collect()} == {x for p in pairs if p[0] != p[1] for x in p}
 
 
