@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, minhash_dedup, mixing, quality_classifier, quality_rules, sentencepiece_nbest, substring_dedup, token_counts, token_output, url_filters
+from . import embedding_dedup, minhash_dedup, mixing, oracles, quality_classifier, quality_rules, sentencepiece_nbest, substring_dedup, token_counts, token_output, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,5 +71,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-#: None of these can be written in SQL as it stands; the tests hold them against brute force and the libraries.
-ORACLES: dict[str, str] = {}
+#: The others (tokenizers, content cuts, a fitted model) cannot be written in SQL as it stands; the tests hold them against
+#: brute force and the libraries.
+ORACLES: dict[str, str] = {
+    "op2_embedding_dedup": oracles.op2(),
+    "op4_url_filters": oracles.op4(),
+    "op7_quality_rules": oracles.op7(),
+    "op8_source_mixing": oracles.op8(),
+    "op9_minhash_dedup": oracles.op9(),
+}

@@ -13,7 +13,8 @@ Each step moves a host's score over its out-edges and returns the rest to the se
 steps could move.
 
 Defined results: a null url or one without `://` has an empty host and path, which fit no rule and are allowed; repeated
-rows are judged alike, and their links count each time; null html has no links.
+rows are judged alike, and their links count each time; null html has no links; html of any length is read in place. Other
+columns of pages play no part.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ STEPS = 16
 THRESHOLD = 0.1
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_LINK = r"""(?i)href\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]+)"""
+LINK = r"""(?i)href\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]+)"""
 
 
 def host_of(url: Column) -> Column:
@@ -50,11 +51,15 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def ordered(rules: tuple[tuple[str, str], ...]) -> list[tuple[str, str]]:
+    """Rules as they are tried: the longest first, of equal ones block first."""
+    return sorted(rules, key=lambda r: (-len(r[1]), r[0] != "block", r[1]))
+
+
 def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RULES) -> Column:
     """A struct (verdict, rule) of the longest rule that fits, null if none does. Equal lengths: block before allow."""
-    ordered = sorted(rules, key=lambda r: (-len(r[1]), r[0] != "block", r[1]))
     out = F.lit(None).cast("struct<verdict:string,rule:string>")
-    for verdict, rule in reversed(ordered):
+    for verdict, rule in reversed(ordered(rules)):
         own, slash, rest = rule.partition("/")
         fits = ((host == own) | host.endswith("." + own)) & path.startswith(slash + rest)
         out = F.when(fits, F.struct(F.lit(verdict).alias("verdict"), F.lit(rule).alias("rule"))).otherwise(out)
@@ -64,7 +69,7 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RUL
 def host_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, weight) of links between different hosts. pages: host, html. Links are counted per page first, so that
     what is shuffled is one row for each host pair and task."""
-    links = F.regexp_extract_all("html", F.lit(_LINK), 1)
+    links = F.regexp_extract_all("html", F.lit(LINK), 1)
     rows = pages.where("host <> ''").select(F.col("host").alias("src"), F.explode(links).alias("dst"))
     rows = rows.select("src", F.translate("dst", _UPPER, _LOWER).alias("dst")).where("src <> dst")
     return rows.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
@@ -120,5 +125,5 @@ def url_verdicts(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, t
     scores = materialize(host_scores(judged.select("host", "html"), hosts, steps), "scores")
     out = judged.drop("html").join(small_or_whole(scores), "host", "left")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
-    own = F.when(distrust - trust > threshold, "block").otherwise("allow")
-    return out.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce(F.col("r.verdict"), own).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
+    own = F.when(distrust - trust > threshold, "block").otherwise("allow")  # of the flows as they are; columns are rounded
+    return out.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce(F.col("r.verdict"), own).alias("verdict"), F.round(trust, 9).alias("trust"), F.round(distrust, 9).alias("distrust"))
