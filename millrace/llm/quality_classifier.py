@@ -15,7 +15,8 @@ A document's posterior log-odds are those of its path's posterior plus its evide
 
 Defined results: null and empty texts have neutral evidence; null hosts and paths are sites of their own; conflicting labels
 of one doc_id count as good; with no or one-sided labels all evidence is 0 and every document is kept; rows that share a
-doc_id are judged one by one.
+doc_id are judged one by one, and the least of their texts is the one to be fitted on. Texts of any length are read whole,
+one at a time; other columns play no part.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, is_empty, materialize, small_or_whole
+from .common import BROADCAST_ROWS, bound_batches, materialize, slices, small_or_whole
 
 #: Labelled documents of either kind that the model is fitted on at most, chosen by a hash of doc_id, with their whole texts.
 FIT_ROWS = 4_000
@@ -38,7 +39,9 @@ BUCKETS = 1 << 18
 CUT = 0.5
 #: The strongest prior, in documents: what hosts without any spread get.
 STRONGEST = 10_000.0
-KEPT = 300_000
+#: Words that a worker keeps, and bytes of texts that are worked on at once.
+KEPT = 200_000
+CHARACTERS = 1_000_000
 
 
 def shape(words: list[bytes], text: str) -> list[float]:
@@ -79,28 +82,32 @@ class WordModel:
         return np.clip(out, -30, 30)
 
 
-def fit(texts: list[str], good: np.ndarray) -> WordModel | None:
+def word_ids(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct buckets of words, and how many words each holds."""
+    return np.unique(np.array([zlib.crc32(w) & (BUCKETS - 1) for w in words], np.int32), return_counts=True)
+
+
+def features(text: str) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    return *word_ids(words), shape(words, text)
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray, list[float]]], good: np.ndarray) -> WordModel | None:
     """Naive Bayes over halves of the sample (each half is scored by the other's words, so the logistic part sees word
-    scores as honest as new texts have), then a ridge logistic fit by Newton steps."""
+    scores as honest as new texts have), then a ridge logistic fit by Newton steps. rows: features of texts."""
     good = np.asarray(good, float)
     if len(good) < 20 or not 0 < good.sum() < len(good):
         return None
     counts = np.zeros((2, 2, BUCKETS))
     half = np.arange(len(good)) % 2
-    bags = []
-    for t, g, h in zip(texts, good, half, strict=True):
-        ids = np.array([zlib.crc32(w) & (BUCKETS - 1) for w in t.encode("utf-8", "surrogatepass").lower().split()], np.int64)
-        bags.append(ids)
-        np.add.at(counts[h, int(g)], np.unique(ids), 1.0)
+    for (ids, _, _), g, h in zip(rows, good, half, strict=True):
+        counts[h, int(g), ids] += 1.0
 
     def odds(c: np.ndarray) -> np.ndarray:
         return np.log((c[1] + 0.5) / (c[1].sum() + 0.5 * BUCKETS)) - np.log((c[0] + 0.5) / (c[0].sum() + 0.5 * BUCKETS))
 
     other = [odds(counts[1]), odds(counts[0])]
-    rows = []
-    for t, h, ids in zip(texts, half, bags, strict=True):
-        rows.append([other[h][ids].sum() / (len(ids) + 5), *shape(t.encode("utf-8", "surrogatepass").lower().split(), t)])
-    x = np.array(rows)
+    x = np.array([[(other[h][ids] * n).sum() / (n.sum() + 5), *form] for (ids, n, form), h in zip(rows, half, strict=True)])
     center, scale = x.mean(0), x.std(0) + 1e-9
     z = np.hstack([np.ones((len(x), 1)), (x - center) / scale])
     w = np.zeros(z.shape[1])
@@ -116,23 +123,37 @@ def fit(texts: list[str], good: np.ndarray) -> WordModel | None:
     return WordModel(odds(counts.sum(0)), w, center, scale, prior)
 
 
+def _featured(batches):
+    """(doc_id, good, text) to (doc_id, good, ids, n, form)."""
+    for batch in batches:
+        for start, texts in slices(batch.column(2), CHARACTERS):
+            ids, n, form = zip(*map(features, texts), strict=True)
+            lists = [pa.array([x.tolist() for x in ids], pa.list_(pa.int32())), pa.array([x.tolist() for x in n], pa.list_(pa.int32())), pa.array(form, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(start, len(texts)) for k in (0, 1)), *lists], ["doc_id", "good", "ids", "n", "form"])
+
+
 def _scorer(model):
     def run(batches):
         m = model.value
         for batch in batches:
-            e = m.evidence(batch.column(1).to_pylist()) if m else np.zeros(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(e)], ["rest", "evidence"])
+            for start, texts in slices(batch.column(1), CHARACTERS):
+                e = m.evidence(texts) if m else np.zeros(len(texts))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array(e)], ["rest", "evidence"])
 
     return run
 
 
 def _training(docs: DataFrame, labels: DataFrame) -> WordModel | None:
+    """The model of at most FIT_ROWS labelled documents of either kind, one row of each doc_id. What reaches the driver is
+    for each the counts of its words' buckets, so no more than BUCKETS numbers however long the text is."""
     order = F.xxhash64(F.lit(11), "doc_id")
     chosen = [labels.where(F.col("good") == g).orderBy(order, "doc_id").limit(FIT_ROWS) for g in (0, 1)]
     chosen = F.broadcast(chosen[0].unionAll(chosen[1]))  # at most 2 * FIT_ROWS rows
     rows = docs.select("doc_id", "text").join(chosen, "doc_id").where("text is not null")
-    got = rows.orderBy("doc_id", "text").limit(4 * FIT_ROWS).select("text", "good").toArrow()
-    return fit(got.column("text").to_pylist(), got.column("good").to_numpy())
+    rows = rows.groupBy("doc_id", "good").agg(F.min("text").alias("text"))
+    found = rows.mapInArrow(_featured, "doc_id long, good int, ids array<int>, n array<int>, form array<double>").orderBy("doc_id").toArrow()
+    parts = [[np.asarray(x.values, t) for x in found.column(k).combine_chunks()] if len(found) else [] for k, t in (("ids", np.int64), ("n", float), ("form", float))]
+    return fit([(i, n, f.tolist()) for i, n, f in zip(*parts, strict=True)], found.column("good").to_numpy())
 
 
 def strength(sites: DataFrame) -> float:
@@ -154,6 +175,7 @@ def quality_posteriors(docs: DataFrame, labels: DataFrame, host: str = "source",
     """One row per document: doc_id, host, path, evidence, host_posterior, path_posterior, quality, kept.
 
     labels: doc_id, quality. Texts are read once and never shuffled; narrow rows are aggregated by host and path."""
+    bound_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.max("quality") >= 1).cast("int").alias("good"))
     known = materialize(known, "known")
     sc = docs.sparkSession.sparkContext

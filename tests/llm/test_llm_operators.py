@@ -707,6 +707,52 @@ def test_classifier_on_held_out_labels(spark):
     assert right > 0.97 and sum(clean) / len(clean) > 0.99
 
 
+def test_posteriors_equal_those_by_hand(spark):
+    """Sites, strengths and posteriors recomputed in plain Python from the evidence of the texts."""
+    rng = random.Random(21)
+    rows, truth = [], {}
+    for i in range(600):
+        site = rng.choice(["a", "a", "a", "b", "c", None])
+        ok = rng.random() < {"a": 0.9, "b": 0.2, "c": 0.5, None: 0.7}[site]
+        text = prose(rng, 40) if ok else " ".join(w + "!!" for w in prose(rng, 40).split())
+        rows.append((i, text, rng.choice(["en", "fr", None]), site, 0))
+        if i % 3 == 0:
+            truth[i] = int(ok)
+    rows += [(3, rows[3][1], "en", "b", 0), (700, None, "en", "d", 0), (701, "", "fr", "a", 0)]
+    labels = spark.createDataFrame(list(truth.items()), "doc_id long, quality int")
+    got = quality_classifier.quality_posteriors(clashing(spark.createDataFrame(rows, SCHEMA)).withColumn("host", F.lit("mine")), labels).collect()
+    prior = math.log(sum(truth.values()) / (len(truth) - sum(truth.values())))
+    p = {id(r): float(truth[r["doc_id"]]) if r["doc_id"] in truth else 1 / (1 + math.exp(-prior - r["evidence"])) for r in got}
+    sums = collections.defaultdict(lambda: [0, 0.0])
+    for r in got:
+        for key in ((r["host"],), (r["host"], r["path"]), ()):
+            sums[key][0] += 1
+            sums[key][1] += p[id(r)]
+
+    def by_moments(level):
+        big = [(n, s) for k, (n, s) in sums.items() if len(k) == level and n >= 2]
+        mu = sum(s for _, s in big) / sum(n for n, _ in big)
+        tau = sum((s / n - mu) ** 2 for n, s in big) / len(big) - mu * (1 - mu) * sum(1 / n for n, _ in big) / len(big)
+        return min(quality_classifier.STRONGEST, max(1.0, mu * (1 - mu) / tau - 1)) if tau > 0 else quality_classifier.STRONGEST
+
+    mu, k_host, k_path = sums[()][1] / sums[()][0], by_moments(1), by_moments(2)
+    assert collections.Counter(r["doc_id"] for r in got) == collections.Counter(r[0] for r in rows)
+    for r in got:
+        (hn, hs), (n, s), own = sums[(r["host"],)], sums[(r["host"], r["path"])], p[id(r)]
+        host = (hs - own + k_host * mu) / (hn - 1 + k_host)
+        path = (s - own + k_path * host) / (n - 1 + k_path)
+        quality = 1 / (1 + math.exp(-math.log(path / (1 - path)) - r["evidence"]))
+        assert (r["host_posterior"], r["path_posterior"], r["quality"]) == (pytest.approx(host), pytest.approx(path), pytest.approx(quality))
+        assert r["kept"] == (quality >= quality_classifier.CUT)
+
+
+def test_fit_reads_bags_of_words():
+    ids, n, form = quality_classifier.features("a b a a c")
+    words = [b"a", b"b", b"a", b"a", b"c"]
+    want = collections.Counter(zlib.crc32(w) & (quality_classifier.BUCKETS - 1) for w in words)
+    assert dict(zip(ids.tolist(), n.tolist(), strict=True)) == want and form == quality_classifier.shape(words, "a b a a c")
+
+
 def test_classifier_edges(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = quality_classifier.quality_posteriors(clashing(docs), none).collect()
