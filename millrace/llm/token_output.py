@@ -19,6 +19,7 @@ to its final name, so that a task that is run again replaces it by the same byte
 
 from __future__ import annotations
 
+import array
 import bisect
 import functools
 import uuid
@@ -26,6 +27,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +40,8 @@ PERCENTILE = 95
 PART_DOCUMENTS = 20_000
 SHARD_TOKENS = 4_000_000
 #: Words that a worker keeps, and bytes of texts that are worked on at once.
-KEPT = 200_000
+KEPT = 400_000
+SHORT = 6
 CHARACTERS = 1_000_000
 _MAGIC = b"MRPFOR01"
 #: Stands for a null doc_id in the order.
@@ -167,7 +170,8 @@ class Encoder:
     are looked up as they stand. A part of plain Latin letters is one pre-token, for which the library's model is asked
     without its normalizer; ASCII signs after a letter, at the end, are pre-tokens of their own."""
 
-    _letters = None
+    #: Signs that are pre-tokens of their own after a letter.
+    SIGNS = ".,;:!?*#$%&|()\""
 
     def __init__(self, path: str):
         import re
@@ -177,44 +181,70 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
-        self.letter = re.compile("[a-zà-öø-ÿ]+").fullmatch
+        self.code = "H" if self.kind.itemsize == 2 else "I"
+        self.latin = re.compile("[a-zà-öø-ÿ]+").fullmatch
         self.to_letters = dict(enumerate(map(ord, byte_letters())))
         probe = "Ab  cd\n\tEF,gh"
         if self._whole(probe) != [x for w in probe.lower().split() for x in self._whole(w)]:
             raise ValueError("this vocabulary's words depend on white space or case")
-        self.words: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {"": b""}
 
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _part(self, part: bytes) -> bytes:
-        text = part.decode("utf-8", "surrogatepass")
-        if self.letter(text):
-            return np.array([t.id for t in self.model.tokenize(part.decode("latin-1").translate(self.to_letters))], self.kind).tobytes()
-        core = text.rstrip(".,;:!?*#$%&|()\"")
-        if core != text and core[-1:].isalpha() and "<" not in text:
-            core = core.encode("utf-8", "surrogatepass")
-            return self[core] + self[part[len(core) :]]
-        return np.array(self._whole(text), self.kind).tobytes()
-
-    def __getitem__(self, part: bytes) -> bytes:
-        got = self.words.get(part)
-        if got is None:
-            got = self.words[part] = self._part(part)
-        return got
-
-    def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
-        end = np.array([end_id], self.kind).tobytes()
-        parts = []
-        for x in texts:
-            b = (x or "").encode("utf-8", "surrogatepass")
-            parts.append((b if b"<|" in b else b.lower()).split())
-        if len(self.words) > KEPT:
-            self.words.clear()
-        for x in {x for xs in parts for x in xs}.difference(self.words):
-            self[x]
-        get = self.words.__getitem__
-        return [b"".join([*map(get, xs), end]) for xs in parts]
+    def _part(self, x: str) -> bytes:
+        if "<" in x:
+            ids = self._whole(x)
+        elif x.isascii() and x.isalpha() and x.islower():
+            ids = [t.id for t in self.model.tokenize(x)]
+        else:
+            core = x.rstrip(self.SIGNS)
+            if core != x and core[-1:].isalpha():
+                words, tail = self.words, x[len(core) :]
+                for y in (core, tail):
+                    if y not in words:
+                        words[y] = self._part(y)
+                return words[core] + words[tail]
+            if self.latin(x):
+                ids = [t.id for t in self.model.tokenize(x.encode().decode("latin-1").translate(self.to_letters))]
+            else:
+                ids = self._whole(x)
+        return array.array(self.code, ids).tobytes()
+
+    def learn(self, parts: list[str]) -> None:
+        """Encodes the parts that aren't known yet."""
+        if len(self.words) > KEPT:  # short words, which come back most, stay while they are few
+            short = {x: v for x, v in self.words.items() if len(x) <= SHORT}
+            self.words = short if 2 * len(short) < KEPT else {"": b""}
+        words = self.words
+        for x in parts:
+            if x not in words:
+                words[x] = self._part(x)
+
+    def encode(self, texts: list[str | None], end_id: int) -> pa.Array:
+        """The ids of each text (null: empty) and the end id, as binary. Words are told apart by Arrow and looked up once
+        for all texts; their ids are then laid out by numpy."""
+        texts = pa.array([x or "" for x in texts], pa.large_string())
+        special = pc.match_substring(texts, "<|")
+        words = pc.ascii_split_whitespace(pc.if_else(special, texts, pc.ascii_lower(texts)))
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        self.learn(distinct)
+        held = [self.words[x] for x in distinct]
+        flat = np.frombuffer(b"".join(held), self.kind)
+        size = np.array([len(x) for x in held], np.int64) // self.kind.itemsize
+        first = np.cumsum(size) - size
+        at = coded.indices.to_numpy()
+        # the words of all texts in a row, with the end id as one more after each text
+        n = pc.list_value_length(words).to_numpy()
+        ends = np.cumsum(n)
+        size, first = np.append(size, 1), np.append(first, len(flat))
+        row = np.insert(at, ends, len(size) - 1)
+        long_ = size[row]
+        place = np.repeat(first[row] - (np.cumsum(long_) - long_), long_) + np.arange(long_.sum())
+        ids = np.append(flat, np.array([end_id], self.kind))[place]
+        bounds = np.concatenate(([0], np.cumsum(long_)[ends + np.arange(len(ends))])) * self.kind.itemsize
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(ids.tobytes())])
 
 
 @functools.lru_cache(maxsize=2)
@@ -240,8 +270,8 @@ def _encoder(path: str, end_id: int, bounds: list[tuple[int, int, int]]):
             ids = batch.column(0).fill_null(_NULL).to_numpy(zero_copy_only=False)
             part = parts_of(ids, batch.column(1).to_numpy(), batch.column(2).to_numpy(), bounds)
             for a, texts in slices(batch.column(3), CHARACTERS):
-                got = encoder.encode(texts, end_id)
-                columns = [pa.array(part[a : a + len(got)]), *(batch.column(k).slice(a, len(got)) for k in range(3)), pa.array(got, pa.binary())]
+                got = encoder.encode(texts, end_id).cast(pa.binary())
+                columns = [pa.array(part[a : a + len(got)]), *(batch.column(k).slice(a, len(got)) for k in range(3)), got]
                 yield pa.RecordBatch.from_arrays(columns, ["part", "doc_id", "h", "uid", "ids"])
 
     return run

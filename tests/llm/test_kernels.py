@@ -152,7 +152,9 @@ def test_token_counts_equal_library_on_random_texts(texts):
 
 def encoded(texts):
     e = token_output.load(public_tokenizers.path("word_bpe_49k.json"))
-    return [np.frombuffer(x, e.kind).tolist()[:-1] for x in e.encode(texts, 1)]
+    got = [np.frombuffer(x, e.kind).tolist() for x in e.encode(texts, 1).to_pylist()]
+    assert all(x[-1] == 1 for x in got)
+    return [x[:-1] for x in got]
 
 
 def test_word_ids_equal_library():
