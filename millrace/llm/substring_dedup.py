@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, bound_batches, discard, materialize, slices
+from .common import bound_batches, discard, materialize, slices
 
 #: Most words of a sentence, and words of a span.
 SENTENCE = 8
@@ -169,7 +169,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     repeats get a place and a second hash and are written. The joins to them can be split, so that a span that a third of
     all documents share meets no single task, and are shuffled at every size, so that what is moved grows in proportion."""
     counted = docs.select("text").mapInArrow(_hashes, "h1 long").groupBy("h1").agg(F.count("*").alias("c"))
-    repeated = counted.where("c > 1").select("h1")
+    repeated = materialize(counted.where("c > 1").select("h1"), "span-hashes")  # so that the join can be split
     places = docs.mapInArrow(_places, "doc_id long, key long, at int, h1 long, h2 long")
     places = materialize(places.join(repeated.hint("merge"), "h1", "left_semi"), "spans")
     place = F.struct("doc_id", "key", "at")
@@ -177,21 +177,19 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     later = places.join(firsts.hint("merge"), ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
     gone = later.groupBy(F.col("key").alias("of_key"), F.col("doc_id").alias("of_doc")).agg(F.collect_set("at").alias("gone"))
     gone = materialize(gone, "repeats")
-    discard(places, firsts)
+    discard(repeated, places, firsts)
     return gone
 
 
 def _cut_texts(docs: DataFrame, text: str) -> DataFrame:
-    """(rest, text, n_removed, removed_words): the cut texts, with the other columns in a struct. Texts stay where they are
-    while the list of spans to remove is small by count; else they are shuffled to meet it."""
+    """(rest, text, n_removed, removed_words): the cut texts, with the other columns in a struct. Texts are
+    shuffled to meet the spans to remove, which are hashed and not sorted: sorting would hold the texts."""
     bound_batches(docs.sparkSession)
     key = F.xxhash64(F.col("doc_id"), F.col(text))
     gone = repeated_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), F.col(text).alias("text")))
-    n = gone.agg(F.sum(F.size("gone") + 4)).first()[0] or 0
-    gone = F.broadcast(gone) if n <= 4 * BROADCAST_ROWS else gone.hint("merge")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text)).alias("rest"), F.col(text).alias("text"), key.alias("key"))
     on = (F.col("key") == F.col("of_key")) & F.col("rest.doc_id").cast("long").eqNullSafe(F.col("of_doc"))
-    joined = rows.join(gone, on, "left").select("rest", "text", "gone")
+    joined = rows.join(gone.hint("shuffle_hash"), on, "left").select("rest", "text", "gone")
     schema = T.StructType().add("rest", joined.schema["rest"].dataType).add("text", "string")
     return joined.mapInArrow(_cut, schema.add("n_removed", "long").add("removed_words", "long"))
 
