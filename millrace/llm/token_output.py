@@ -42,7 +42,7 @@ SHARD_TOKENS = 4_000_000
 #: Words that a worker keeps, and bytes of texts that are worked on at once.
 KEPT = 400_000
 SHORT = 6
-CHARACTERS = 1_000_000
+CHARACTERS = 4_000_000
 _MAGIC = b"MRPFOR01"
 #: Stands for a null doc_id in the order.
 _NULL = -(2**63)
@@ -211,15 +211,22 @@ class Encoder:
                 ids = self._whole(x)
         return array.array(self.code, ids).tobytes()
 
-    def learn(self, parts: list[str]) -> None:
-        """Encodes the parts that aren't known yet."""
+    def parts(self, distinct: list[str]) -> list[bytes]:
+        """The packed ids of each of the parts; what isn't known yet is encoded."""
         if len(self.words) > KEPT:  # short words, which come back most, stay while they are few
             short = {x: v for x, v in self.words.items() if len(x) <= SHORT}
             self.words = short if 2 * len(short) < KEPT else {"": b""}
-        words = self.words
-        for x in parts:
-            if x not in words:
-                words[x] = self._part(x)
+        words, out, tokenize, pack, code = self.words, [], self.model.tokenize, array.array, self.code
+        for x in distinct:
+            got = words.get(x)
+            if got is None:
+                if x.isalpha() and x.isascii() and x.islower():
+                    got = pack(code, [t.id for t in tokenize(x)]).tobytes()
+                else:
+                    got = self._part(x)
+                words[x] = got
+            out.append(got)
+        return out
 
     def encode(self, texts: list[str | None], end_id: int) -> pa.Array:
         """The ids of each text (null: empty) and the end id, as binary. Words are told apart by Arrow and looked up once
@@ -228,9 +235,7 @@ class Encoder:
         special = pc.match_substring(texts, "<|")
         words = pc.ascii_split_whitespace(pc.if_else(special, texts, pc.ascii_lower(texts)))
         coded = words.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        self.learn(distinct)
-        held = [self.words[x] for x in distinct]
+        held = self.parts(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         flat = np.frombuffer(b"".join(held), self.kind)
         size = np.array([len(x) for x in held], np.int64) // self.kind.itemsize
         first = np.cumsum(size) - size
@@ -304,7 +309,7 @@ def _writer(uri: str, kind: str):
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([len(flat)], pa.int64())], ["part", "shard", "n_ids"])
 
         for batch in batches:
-            for start, some in slices(batch.column(2), 2 * CHARACTERS):
+            for start, some in slices(batch.column(2), CHARACTERS):
                 parts, own = (batch.column(k).slice(start, len(some)).to_pylist() for k in (0, 1))
                 for p, i, x in zip(parts, own, some, strict=True):
                     if docs and (p != part or held >= SHARD_TOKENS):
