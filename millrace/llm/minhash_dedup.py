@@ -293,8 +293,8 @@ def keep_first_of_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
     """docs with one row of each near-duplicate group, of the smallest doc_id; columns as they come.
 
     Rows that leave are named by doc_id and a hash of the text, in a broadcast if they are few, else in a join. Where
-    several rows of a group have its smallest doc_id (or all are null), one with the least hash stays, found by an
-    aggregation that combines map-side."""
+    several rows of a group have its smallest doc_id (or all are null), the one with the least hash of text and row stays,
+    found by an aggregation that combines map-side."""
     verdict = materialize(grouped(docs, percent).where("n_shingles > 0"), "groups")
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))
     gone = verdict.where(~first).select("doc_id", "key").distinct()
@@ -307,6 +307,6 @@ def keep_first_of_groups(docs: DataFrame, percent: int = 80) -> DataFrame:
     if not is_empty(several):
         of = several.select(F.col("doc_id").alias("of_id"), F.col("key").alias("of_key"), "group")
         mine = (F.col("key") == F.col("of_key")) & F.col("row.doc_id").cast("long").eqNullSafe(F.col("of_id"))
-        one = rows.join(small_or_whole(of), mine).groupBy("group").agg(F.min_by("row", "key").alias("row"))
+        one = rows.join(small_or_whole(of), mine).groupBy("group").agg(F.min_by("row", F.struct("key", F.xxhash64(F.to_json("row")))).alias("row"))
         out = out.unionAll(one.select("row"))
     return out.select("row.*")
