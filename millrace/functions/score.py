@@ -99,3 +99,12 @@ def recommendation(equity: Column, take: Column, threat: Column, from_threat: fl
     """double if the equity reaches the threshold, which a gammon threat from 0.30 on lowers; else wait."""
     threshold = take - F.when(threat >= from_threat, threat * per_threat).otherwise(0.0)
     return F.when(equity >= threshold, "double").otherwise("wait")
+
+
+def equity_scaled(equity: Column) -> Column:
+    """Equity as an integer of ten-thousandths, halves away from zero."""
+    return F.round(equity * 10_000).cast("int")
+
+
+def equity_of(scaled: Column) -> Column:
+    return scaled / 10_000.0

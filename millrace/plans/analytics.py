@@ -169,7 +169,7 @@ def knn_bruteforce(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def pca_2d(spark: SparkSession, d: str) -> DataFrame:
-    out, _ = ml.pca(ml.vectors(table(spark, d, "embeddings"), "embedding"), "features", 2)
+    out, _ = ml.pca(ml.vectors(table(spark, d, "embeddings"), "embedding"), "features", 2, standardise=True)
     return out.select("vec_id", F.round(F.col("pca")[0], 6).alias("x"), F.round(F.col("pca")[1], 6).alias("y"))
 
 

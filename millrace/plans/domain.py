@@ -123,6 +123,26 @@ def popcount_masks(spark: SparkSession, d: str) -> DataFrame:
     return out.select(*KEY, *(F.col(f"f.{c}").cast("long").alias(c) for c in ("blot_x", "blot_o", "made_x", "made_o", "prime_x", "prime_o", "anchor_x", "anchor_o", "pip_diff", "pos_class")))
 
 
+_RAW_SQL = {"bar_x": "b[1]", "bar_o": "c[1]", "off_x": "b[26]", "off_o": "c[26]", "pip_x": "list_sum(list_transform(range(0, 24), lambda i: greatest(s[i + 1], 0) * (i + 1))) + b[1] * 25",
+"pip_o": "list_sum(list_transform(range(0, 24), lambda i: greatest(-s[i + 1], 0) * (24 - i))) + c[1] * 25", "cube_log2": "move_number % 4", "cube_owner": "move_number % 3", "away_x": "part % 15", "away_o": "supp % 15"}
+
+
+@query(f"""SELECT {KEYS}, {", ".join(f"s[{i + 1}]::DOUBLE AS p{i}" for i in range(24))}, {", ".join(f"({x})::DOUBLE AS {k}" for k, x in _RAW_SQL.items())} FROM {_SIGNED}""")
+def raw_features(spark: SparkSession, d: str) -> DataFrame:
+    """The 34 raw features of signed boards."""
+    b, c, m = F.col("b"), F.col("c"), F.col("move_number")
+    p = positions(spark, d).withColumn("s", board.display(b, c))
+    f = board.raw_features(F.col("s"), b[0], c[0], b[25], c[25], m % 4, m % 3, F.col("part") % 15, F.col("supp") % 15)
+    return p.select(*KEY, f.alias("f")).select(*KEY, *(F.col("f")[i].alias(n) for i, n in enumerate([*(f"p{i}" for i in range(24)), *board.RAW])))
+
+
+@query("""SELECT l_orderkey, l_linenumber, round((l_discount::DOUBLE - l_tax::DOUBLE) * 10000)::INT AS scaled, round((l_discount::DOUBLE - l_tax::DOUBLE) * 10000)::INT / 10000.0::DOUBLE AS equity FROM lineitem""")
+def equity_scale(spark: SparkSession, d: str) -> DataFrame:
+    """Equities as stored integers, and back."""
+    scaled = score.equity_scaled(F.col("l_discount").cast("double") - F.col("l_tax").cast("double"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", scaled.alias("scaled"), score.equity_of(scaled).alias("equity"))
+
+
 def _xor_sql(items: str) -> str:
     return f"list_reduce({items}, lambda a, x: xor(a, x), 0::BIGINT)"
 

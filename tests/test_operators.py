@@ -156,11 +156,13 @@ def test_graph_queries_cover_all_edges(spark):
     assert {r["node"] for r in domain.communities(spark, d).collect()} == {x for p in pairs if p[0] != p[1] for x in p}
 
 
-def test_neighbours_and_graph(spark):
+def test_neighbours_and_graph(spark, monkeypatch):
+    monkeypatch.setattr(ml, "NEAR_ROWS", 50)
+    monkeypatch.setattr(ml, "NEAR_QUERIES", 40)
     rng = np.random.default_rng(2)
     x = rng.standard_normal((120, 5))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
-    near = ml.neighbours(df, "id", "v", 6, blocks=3)
+    near = ml.neighbours(df, "id", "v", 6)
     d = np.linalg.norm(x[:, None] - x[None], axis=2)
     np.fill_diagonal(d, np.inf)
     got = {(r["id"], r["rank"]): (r["neighbour"], r["distance"]) for r in near.collect()}
