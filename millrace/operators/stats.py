@@ -73,3 +73,20 @@ def confidence(df: DataFrame, keys: Sequence[str], value: str, full: int = 100)
     half = 1.96 * F.col("_s") / F.sqrt("n")
     big = F.col("n") >= full
     return g.select(*keys, "n", "mean", F.when(big, F.col("mean") - half).otherwise(F.col("mean") * 0.7).alias("low"), F.when(big, F.col("mean") + half).otherwise(F.col("mean") * 1.3).alias("high"))
+
+
+def clipped_histogram(df: DataFrame, by: Sequence[str], value: str, high: float, bins: int) -> DataFrame:
+    """Rows of each group and bin 1..bins of equal width over [0, high]; values beyond either end count in the bin there.
+    Null values are left out."""
+    inside = F.least(F.greatest(F.col(value).cast("double"), F.lit(0.0)), F.lit(float(high)))
+    at = F.least(F.floor(inside / (high / bins)).cast("int") + 1, F.lit(bins))
+    return df.where(F.col(value).isNotNull()).groupBy(*by, at.alias("bin")).agg(F.count("*").alias("n"))
+
+
+def clipped_summary(df: DataFrame, by: Sequence[str], value: str, share: float = 0.95) -> DataFrame:
+    """Per group n, mean, median and 90th percentile, and the mean with values clipped at the group's `share` percentile."""
+    cut = df.groupBy(*by).agg(F.percentile(value, F.array(F.lit(share), F.lit(0.5), F.lit(0.9))).alias("q"))
+    joined = df.join(cut, list(by))
+    clipped = F.least(F.col(value).cast("double"), F.col("q")[0])
+    means = joined.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.avg(clipped).alias("clipped_mean"), F.first("q").alias("q"))
+    return means.select(*by, "n", "mean", F.col("q")[1].alias("median"), F.col("q")[2].alias("p90"), "clipped_mean")

@@ -396,8 +396,9 @@ def theme_primary(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH f AS {_THEMES} SELECT l_returnflag, theme, count(*) AS n, round(avg(l_discount), 9) AS avg_error FROM {_LONG} WHERE f GROUP BY 1, 2""")
 def player_themes(spark: SparkSession, d: str) -> DataFrame:
-    out = themes.by_player(themes.structural(theme_rows(spark, d)), "l_returnflag", "l_discount", _NAMES)
-    return out.withColumn("avg_error", F.round("avg_error", 9))
+    rows = theme_rows(spark, d).withColumn("l_discount", F.col("l_discount").cast("decimal(20,12)"))  # sums in any order are equal
+    out = themes.by_player(themes.structural(rows), "l_returnflag", "l_discount", _NAMES)
+    return out.withColumn("avg_error", F.round(F.col("avg_error").cast("double"), 9))
 
 
 _EV = """(SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, 1 + l_linenumber % 2 AS roll, 1 + l_partkey % 13 AS a, 1 + l_suppkey % 11 AS b, CAST(2 ** (l_linenumber % 3) AS INT) AS cube, 0.3::DOUBLE + (l_partkey % 50) / 100.0::DOUBLE AS win,

@@ -146,3 +146,28 @@ def component_counts(spark: SparkSession, d: str) -> DataFrame:
     """Principal components that explain 50, 80 and 90 % of the variance; checked in the tests."""
     got = ml.components_for(ml.vectors(table(spark, d, "embeddings"), "embedding"), "features", [0.5, 0.8, 0.9])
     return spark.createDataFrame(list(got.items()), "share double, components int")
+
+
+@query("""SELECT l_returnflag, l_linestatus, least(floor(least(greatest(l_discount::DOUBLE, 0), 0.08::DOUBLE) / (0.08::DOUBLE / 16))::INT + 1, 16) AS bin, count(*) AS n FROM lineitem WHERE l_discount IS NOT NULL GROUP BY 1, 2, 3""")
+def clipped_histogram(spark: SparkSession, d: str) -> DataFrame:
+    """Errors by phase and type in equal bins, clipped at the upper end."""
+    return stats.clipped_histogram(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_discount", 0.08, 16)
+
+
+@query("""WITH q AS (SELECT p_brand, quantile_cont(p_retailprice, 0.95) AS c, quantile_cont(p_retailprice, 0.5) AS m, quantile_cont(p_retailprice, 0.9) AS p FROM part GROUP BY 1)
+SELECT p_brand, count(p_retailprice) AS n, round(avg(p_retailprice), 9) AS mean, round(any_value(m), 9) AS median, round(any_value(p), 9) AS p90, round(avg(least(p_retailprice, c)), 9) AS clipped_mean
+FROM part JOIN q USING (p_brand) GROUP BY 1""")
+def clipped_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Difficulty of classes: mean, median, 90th percentile and the mean clipped at the 95th."""
+    out = stats.clipped_summary(table(spark, d, "part"), ["p_brand"], "p_retailprice")
+    return out.select("p_brand", "n", *(F.round(c, 9).alias(c) for c in ("mean", "median", "p90", "clipped_mean")))
+
+
+@query("""SELECT place, s_suppkey, s_nationkey, balance FROM (SELECT *, row_number() OVER (ORDER BY balance ASC NULLS LAST, s_nationkey DESC NULLS LAST, s_suppkey) AS place
+FROM (SELECT s_suppkey, s_nationkey, CASE WHEN s_acctbal >= 0 THEN s_acctbal END AS balance FROM supplier)) WHERE place <= 50""")
+def sorted_by_metric(spark: SparkSession, d: str) -> DataFrame:
+    """The first fifty by a chosen metric among those allowed, then by others; nulls last."""
+    s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", F.when(F.col("s_acctbal") >= 0, F.col("s_acctbal")).alias("balance"))
+    keys = [filters.sort_key(k, ("balance", "s_nationkey", "s_suppkey"), down) for k, down in (("balance", False), ("s_nationkey", True), ("s_suppkey", False))]
+    page = filters.search(s, F.lit(True), keys, 0, 50)
+    return page.withColumn("place", F.row_number().over(Window.orderBy(*keys))).select("place", "s_suppkey", "s_nationkey", "balance")
