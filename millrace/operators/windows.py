@@ -26,13 +26,23 @@ def rolling_max(value: Column, keys: list[str], order: list[str], size: int) ->
     return F.when(F.count(F.lit(1)).over(w) == size, F.max(value).over(w))
 
 
+def mean_in_order(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """(keys, n, mean) with doubles added up one after the other in an order of the rows, as a single reader of a sorted table
+    does: the last bits, and so what rounding makes of a half, are the same in any partitions. Groups are streamed, not
+    gathered; rows equal in order are added by rising value."""
+    w = Window.partitionBy(*keys).orderBy(*order, value)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = df.select(*keys, F.count(F.lit(1)).over(upto).alias("n"), F.avg(value).over(upto).alias("mean"), F.lead(F.lit(1)).over(w).alias("_more"))
+    return rows.where("_more is null").drop("_more")
+
+
 def previous_value(value: str, keys: list[str], order: list[str], steps: int = 1) -> Column:
     return F.lag(value, steps).over(Window.partitionBy(*keys).orderBy(*order))
 
 
 def ranked(df: DataFrame, by: Column, tie: str, name: str = "rank") -> DataFrame:
-    """Global positions 1.. in an order with a unique tie-breaker. Meant for report tables; one task orders all rows."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(by, tie)))
+    """Global positions 1.. in an order with a unique tie-breaker, a null one last. Meant for report tables; one task orders all rows."""
+    return df.withColumn(name, F.row_number().over(Window.orderBy(by, F.col(tie).asc_nulls_last())))
 
 
 def top_by_dimension(df: DataFrame, key: str, dimensions: Sequence[str], n: int, descending: bool = True) -> DataFrame:

@@ -413,7 +413,8 @@ def lag_prev(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT user_id, rating, row_number() OVER (ORDER BY rating ASC NULLS LAST, user_id) AS rank FROM
 (SELECT user_id, CASE WHEN count(*) >= 60 THEN round(avg(value), 6) END AS rating FROM events GROUP BY 1)""")
 def rank_nulls_last(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "events").groupBy("user_id").agg(F.when(F.count("*") >= 60, r6(F.avg("value"))).alias("rating"))
+    means = windows.mean_in_order(table(spark, d, "events"), ["user_id"], ["event_id", "ts"], "value")
+    r = means.select("user_id", F.when(F.col("n") >= 60, r6("mean")).alias("rating"))
     return windows.ranked(r, F.col("rating").asc_nulls_last(), "user_id")
 
 

@@ -1,5 +1,6 @@
 """Operators on small frames: values that the oracle queries do not reach."""
 
+import datetime
 import gzip
 import itertools
 import json
@@ -7,11 +8,13 @@ import math
 import os
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import aggregates, filters, graph, joins, ml, quality, sampling, setops, spatial, stats, windows
+from millrace.plans import catalog, relational
 from millrace.sources import blocks, readers, records, sinks
 from millrace.streaming import events
 
@@ -339,3 +342,23 @@ def test_stream_is_resumed_without_repeats(spark, tmp_path):
     assert spark.read.parquet(out).count() == 15
     w = events.windowed(make(0), "ts", [], "v", "10 seconds").collect()
     assert sum(r["n"] for r in w) == 20
+
+
+def test_rank_nulls_last_in_any_partitions(spark, tmp_path):
+    rng = random.Random(3)
+    values = [rng.randrange(1, 56_000) for _ in range(63)]
+    values.append(4 + (2 - sum(values)) % 4)  # hundredths that sum to 2 modulo 4: the mean of 64 is a half at 6 places
+    assert sum(values) * 10**4 % 64 == 32
+    rows = []
+    for user in range(40):
+        rng.shuffle(values)
+        rows += [(user, v / 100) for v in values]
+    rng.shuffle(rows)
+    rows = [(i, datetime.datetime(2024, 1, 1), user, v) for i, (user, v) in enumerate(rows)]
+    rows += [(3000, None, 40, 1.0), (3001, None, None, None)]
+    frame(spark, "event_id long, ts timestamp, user_id long, value double", *rows).repartition(7, F.xxhash64("event_id")).write.parquet(str(tmp_path / "events.parquet"))
+    got = relational.rank_nulls_last(spark, str(tmp_path)).collect()
+    con = duckdb.connect(config={"threads": 1})
+    con.execute(f"create table events as select * from read_parquet('{tmp_path}/events.parquet/*.parquet') order by event_id")
+    want = con.execute(catalog.ORACLES["rank_nulls_last"]).fetchall()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want)) and len({r["rating"] for r in got}) == 3
