@@ -45,6 +45,8 @@ SHORT = 8
 CHARACTERS = 4_000_000
 SOLVED = 200_000
 UNKNOWN_PENALTY = 10.0
+#: Stands between segments where characters are numbers, and is none (NUL is one).
+APART = (1 << 21) - 1
 
 
 def proto_fields(data: bytes) -> list[tuple[int, int | bytes]]:
@@ -156,9 +158,10 @@ class Model:
         self.keys, self.next = (np.array(x, np.int64) for x in zip(*steps, strict=True))
 
     def forget(self) -> None:
-        #: Ids, score and least loss of each segment solved, and of those searched the others' losses and ids more.
+        #: Ids, score and least loss of each segment solved, and of those searched the n_best asked for: each one's loss, its
+        #: ids and whether they decode to the segment; the first is the one solved.
         self.solved: dict[str, tuple[bytes, float, float]] = {}
-        self.others: dict[str, list[tuple[float, int]]] = {}
+        self.others: dict[tuple[str, int], list[tuple[float, bytes, bool]]] = {}
         self.held = 0
 
     def edges(self, s: str) -> list[tuple[int, int, int, float]]:
@@ -278,14 +281,17 @@ class Model:
     def solve_all(self, segments: list[str]) -> list[tuple[bytes, float, float]]:
         """What solve() finds for each segment, ids packed as little-endian u4: all segments step by step together.
 
-        Segments lie in one flat array of characters, each with a zero after it. The tree is walked from all places at
+        Segments lie in one flat array of characters, each with the sign APART after it. The tree is walked from all places at
         once, a character a step. Then nodes take their two best scores over the edges, by the place in the segment where
         an edge starts: edges of one such step never end in the same node."""
-        flat = np.array([0], np.int64) if not segments else np.frombuffer("\0".join([*segments, ""]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        if not segments:
+            return []
+        flat = np.frombuffer("\0".join([*segments, ""]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
         size = np.array([len(x) for x in segments], np.int64)
         first = np.concatenate(([0], np.cumsum(size + 1)))[:-1]
         place = np.arange(len(flat)) - np.repeat(first, size + 1)
-        at = np.flatnonzero(flat)
+        flat[first + size] = APART
+        at = np.flatnonzero(flat != APART)
         node, starts, ends, ids = np.zeros(len(at), np.int64), [], [], []
         single = np.zeros(len(flat), bool)
         step = 0
@@ -300,7 +306,7 @@ class Model:
             starts.append(at[here]), ends.append(at[here] + step), ids.append(piece[here])
             if step == 1:
                 single[at[here]] = True
-        lone = np.flatnonzero((flat > 0) & ~single)
+        lone = np.flatnonzero((flat != APART) & ~single)
         start, end = np.concatenate([*starts, lone]), np.concatenate([*ends, lone + 1])
         piece = np.concatenate([*ids, np.full(len(lone), -1)])
         value = np.where(piece >= 0, self.value[piece], self.unknown_score)
@@ -376,35 +382,46 @@ class Model:
         """(ids of the best segmentation as little-endian u4, scores and token counts of the n_best, normalized text)."""
         whole, segments = self.cut(text) if text else ("", [])
         self.learn(set(segments))
-        return *self.assembled(segments, n_best), whole
-
-    def assembled(self, segments: list[str], n_best: int) -> tuple[bytes, list[float], list[int]]:
-        """Ids of the best, scores and token counts of the n_best combinations of solved segments."""
+        found, scores, counts, _ = self.assembled(segments, n_best)
+        return found[0], scores, counts, whole
+
+    def alternatives(self, s: str, n_best: int) -> list[tuple[float, bytes, bool]]:
+        """(loss, ids, decodes to the segment) of a solved segment's n_best segmentations, the solved one first of its ties."""
+        if (s, n_best) not in self.others:
+            own, plain = self.solved[s][0], s.replace("▁", " ").encode("utf-8", "surrogatepass")
+            got = [(struct.pack(f"<{len(x)}I", *x), v) for x, v in self.nbest(s, n_best)]
+            top, rest = got[0][1], [(x, v) for x, v in got if x != own]
+            made = [(own, top), *rest[len(rest) + 1 - len(got) :]]  # of more ties than n_best the first gives way
+            self.others[s, n_best] = [(top - v, x, self.spelt(np.frombuffer(x, "<u4")) == plain) for x, v in made]
+            self.held += n_best * (len(s) + OVERHEAD)
+        return self.others[s, n_best]
+
+    def assembled(self, segments: list[str], n_best: int) -> tuple[list[bytes], list[float], list[int], bool]:
+        """Ids, scores and token counts of the n_best combinations of solved segments, best first, and whether those of the
+        segments that aren't at their best decode to them."""
         if not segments:
-            return b"", [0.0], [0]
+            return [b""], [0.0], [0], True
         packed, own, lost = zip(*map(self.solved.__getitem__, segments), strict=True)
-        ids, score, losses = b"".join(packed), sum(own), np.array(lost)
+        score, losses = sum(own), np.array(lost)
         few = np.argsort(losses, kind="stable")[: n_best - 1] if len(losses) <= 64 else self._least(losses, n_best - 1)
-        options = []
-        for k in few:
-            s = segments[k]
-            if s not in self.others:
-                got = self.nbest(s, n_best)
-                self.others[s] = [(got[0][1] - v, len(x) - len(got[0][0])) for x, v in got]
-                self.held += len(s) + OVERHEAD
-            options.append(self.others[s])
-        scores, counts = [], []
-        agenda = [(0.0, 0, (0,) * len(options), 0)]
+        few = few.tolist()
+        options = [self.alternatives(segments[k], n_best) for k in few]
+        found, scores, ok = [], [], True
+        agenda = [(0.0, (0,) * len(options), 0)]
         while agenda and len(scores) < n_best:
-            loss, more, choice, first = heapq.heappop(agenda)
+            loss, choice, first = heapq.heappop(agenda)
             scores.append(score - loss)
-            counts.append(len(ids) // 4 + more)
+            parts = list(packed)
+            for k, c in enumerate(choice):
+                if c:
+                    parts[few[k]] = options[k][c][1]
+                    ok = ok and options[k][c][2]
+            found.append(b"".join(parts))
             for k in range(first, len(options)):
                 c = choice[k]
                 if c + 1 < len(options[k]):
-                    (was, had), (now, has) = options[k][c], options[k][c + 1]
-                    heapq.heappush(agenda, (loss - was + now, more - had + has, choice[:k] + (c + 1,) + choice[k + 1 :], k))
-        return ids, scores, counts
+                    heapq.heappush(agenda, (loss - options[k][c][0] + options[k][c + 1][0], choice[:k] + (c + 1,) + choice[k + 1 :], k))
+        return found, scores, [len(x) // 4 for x in found], ok
 
     @staticmethod
     def _least(losses: np.ndarray, k: int) -> np.ndarray:
@@ -413,9 +430,12 @@ class Model:
         some = np.flatnonzero(losses <= cut)
         return some[np.argsort(losses[some], kind="stable")][:k]
 
+    def spelt(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+
     def decode(self, ids: np.ndarray) -> bytes:
         """The UTF-8 text of ids, without the space that the model puts first."""
-        out = b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+        out = self.spelt(ids)
         return out[1:] if self.prefix and out[:1] == b" " else out
 
 
@@ -424,46 +444,77 @@ def load(path: str) -> Model:
     return Model(path)
 
 
-def _encoder(path: str, n_best: int, with_ids: bool):
+def _lists(values: list[bytes]) -> pa.ListArray:
+    at = np.cumsum([0, *(len(x) // 4 for x in values)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(values), "<i4")))
+
+
+def _encoder(path: str, n_best: int, with_ids: bool, with_nbest: bool):
     def run(batches):
         model = load(path)
         for batch in batches:
-            for start, texts in slices(batch.column(1), CHARACTERS):
-                n_bytes, n_tokens, crc, scores, counts, ok, ids = [], [], [], [], [], [], []
+            for start, texts in slices(batch.column(1), CHARACTERS // n_best if with_nbest else CHARACTERS):
+                n_bytes, n_tokens, crc, scores, counts, ok, ids, nbest, crcs = [], [], [], [], [], [], [], [], []
                 cut = [model.cut(text) if text else ("", []) for text in texts]
                 model.learn(set().union(*(segments for _, segments in cut)))
                 for text, (whole, segments) in zip(texts, cut, strict=True):
-                    got, s, c = model.assembled(segments, n_best)
+                    found, s, c, others = model.assembled(segments, n_best)
+                    got = found[0]
                     n_bytes.append(len(text.encode("utf-8", "surrogatepass")) if text else 0)
-                    n_tokens.append(len(got) // 4), crc.append(zlib.crc32(got)), scores.append(s), counts.append(c)
-                    ok.append(model.decode(np.frombuffer(got, "<u4")) == whole[model.start :].replace("▁", " ").encode("utf-8", "surrogatepass"))
+                    crcs.append(list(map(zlib.crc32, found)))
+                    n_tokens.append(len(got) // 4), crc.append(crcs[-1][0]), scores.append(s), counts.append(c)
+                    ok.append(others and model.decode(np.frombuffer(got, "<u4")) == whole[model.start :].replace("▁", " ").encode("utf-8", "surrogatepass"))
                     if with_ids:
                         ids.append(got)
-                columns = [batch.column(0).slice(start, len(texts)), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(crc, pa.int64()), pa.array(scores, pa.list_(pa.float64())), pa.array(counts, pa.list_(pa.int64())), pa.array(ok, pa.bool_())]
-                names = ["rest", "n_bytes", "n_tokens", "ids_crc32", "nbest_scores", "nbest_tokens", "round_trip"]
+                    if with_nbest:
+                        nbest.append(found)
+                columns = [batch.column(0).slice(start, len(texts)), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(crc, pa.int64()), pa.array(scores, pa.list_(pa.float64())), pa.array(counts, pa.list_(pa.int64())), pa.array(crcs, pa.list_(pa.int64())), pa.array(ok, pa.bool_())]
+                names = ["rest", "n_bytes", "n_tokens", "ids_crc32", "nbest_scores", "nbest_tokens", "nbest_crc32", "round_trip"]
                 if with_ids:
-                    at = np.cumsum([0, *n_tokens]).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(ids), "<i4"))))
+                    columns.append(_lists(ids))
                     names.append("ids")
+                if with_nbest:
+                    at = np.cumsum([0, *map(len, nbest)]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(at), _lists([x for found in nbest for x in found])))
+                    names.append("nbest_ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
-def encode(docs: DataFrame, model_path: str, n_best: int = N_BEST, with_ids: bool = False, text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model_path: str, n_best: int = N_BEST, with_ids: bool = False, text: str = "text", with_nbest: bool = False) -> DataFrame:
     """One row per document: its columns but the text, n_bytes, n_tokens and ids_crc32 of the best segmentation (crc32 of
-    its ids as little-endian unsigned 32-bit integers), nbest_scores and nbest_tokens of the n_best segmentations, best
-    first, round_trip (decoding the best ids gives the text), and with_ids the ids themselves. A map over the rows: no
-    shuffle. model_path must be readable on every executor."""
+    its ids as little-endian unsigned 32-bit integers), nbest_scores, nbest_tokens and nbest_crc32 of the n_best
+    segmentations, best first, round_trip (the ids of each of them decode to the text), with_ids the best one's ids and
+    with_nbest those of all, nbest_ids. Pieces decode one by one, so of the others only the segments that differ from the best
+    one are decoded again. A map over the rows: no shuffle. model_path must be readable on every executor."""
     if n_best < 1:
         raise ValueError("n_best must be at least 1")
     bound_batches(docs.sparkSession)
     others = [c for c in docs.columns if c != text]
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("rest"), F.col(text).alias("text"))
     schema = T.StructType().add("rest", rows.schema["rest"].dataType).add("n_bytes", "long").add("n_tokens", "long").add("ids_crc32", "long")
-    schema = schema.add("nbest_scores", T.ArrayType(T.DoubleType())).add("nbest_tokens", T.ArrayType(T.LongType())).add("round_trip", "boolean")
+    schema = schema.add("nbest_scores", T.ArrayType(T.DoubleType())).add("nbest_tokens", T.ArrayType(T.LongType())).add("nbest_crc32", T.ArrayType(T.LongType())).add("round_trip", "boolean")
     if with_ids:
         schema = schema.add("ids", T.ArrayType(T.IntegerType()))
-    out = rows.mapInArrow(_encoder(model_path, n_best, with_ids), schema)
+    if with_nbest:
+        schema = schema.add("nbest_ids", T.ArrayType(T.ArrayType(T.IntegerType())))
+    out = rows.mapInArrow(_encoder(model_path, n_best, with_ids, with_nbest), schema)
     made = [c for c in schema.names if c != "rest"]
     return out.select(*(F.col(f"rest.`{c}`").alias(c) for c in others if c not in made), *made)
+
+
+def decode(docs: DataFrame, model_path: str, ids: str = "ids", text: str = "text") -> DataFrame:
+    """The rows with the text of their ids in place of them, null for null; bytes that are no UTF-8 become U+FFFD."""
+    bound_batches(docs.sparkSession)
+    others = [c for c in docs.columns if c not in (ids, text)]
+    rows = docs.select(F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in others)).alias("rest"), F.col(f"`{ids}`").cast("array<int>").alias("ids"))
+
+    def run(batches):
+        model = load(model_path)
+        for batch in batches:
+            texts = [None if x is None else model.decode(np.array(x, np.int64)).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["rest", "text"])
+
+    out = rows.mapInArrow(run, T.StructType().add("rest", rows.schema["rest"].dataType).add("text", "string"))
+    return out.select(*(F.col(f"rest.`{c}`").alias(c) for c in others), F.col("text").alias(text))

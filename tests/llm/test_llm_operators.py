@@ -780,3 +780,24 @@ def test_scratch_is_shared_or_local(spark):
     assert df.count() == 10
     common.discard(df)
     assert common.small_or_whole(common.materialize(spark.range(10), "t"), 3).count() == 10
+
+
+def test_sentencepiece_gives_every_segmentation(spark, docs):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    nul = spark.createDataFrame([(200, "ab\0cd ef", "en", "s0", 8), (201, "\0", "en", "s0", 1), (202, "a  b", "en", "s0", 4)], SCHEMA)
+    texts = {r[0]: r[1] or "" for r in corpus()} | {200: "ab\0cd ef", 201: "\0", 202: "a  b"}
+    encoded = sentencepiece_nbest.encode(docs.unionByName(nul), path, with_ids=True, with_nbest=True)
+    model = sentencepiece_nbest.Model(path)
+    score = lambda ids: sum(model.unknown_score if x == 3 else model.processor.get_score(x) for x in ids)
+    for r in encoded.collect():
+        found, text = r["nbest_ids"], texts[r["doc_id"]]
+        assert r["round_trip"] and found[0] == r["ids"] and len({tuple(x) for x in found}) == len(found) == len(r["nbest_scores"])
+        assert [zlib.crc32(np.array(x, "<u4").tobytes()) for x in found] == r["nbest_crc32"] and r["nbest_crc32"][0] == r["ids_crc32"]
+        assert [len(x) for x in found] == r["nbest_tokens"] and all(model.processor.decode(x) == text for x in found)
+        if r["doc_id"] is not None and r["doc_id"] < 80 or r["doc_id"] == 200:
+            assert len(found) == 4
+        if r["doc_id"] == 200:
+            assert [score(x) for x in found] == pytest.approx(r["nbest_scores"])
+            assert [v for _, v in model.nbest(" ab\0cd ef", 4)] == pytest.approx(r["nbest_scores"])
+    back = sentencepiece_nbest.decode(encoded.select("doc_id", "ids", F.lit(1).alias("mine")), path).collect()
+    assert len(back) == len(corpus()) + 3 and all(r["text"] == texts[r["doc_id"]] and r["mine"] == 1 for r in back)
